@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from plumbline.catalog import Query, splitting
+from plumbline.catalog import Query, scanning, splitting
 
-MODULES = (splitting,)
+MODULES = (scanning, splitting)
 
 
 def queries() -> dict[str, Query]:
