@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from plumbline.catalog import Query, scanning, splitting
+from plumbline.catalog import Query, evaluating, scanning, splitting
 
-MODULES = (scanning, splitting)
+MODULES = (scanning, splitting, evaluating)
 
 
 def queries() -> dict[str, Query]:
