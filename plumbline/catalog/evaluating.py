@@ -49,8 +49,8 @@ def vectors(spark, sf_dir, scale=SCALE, dims: int | None = None, open_class: int
         trained = trained.where(label != open_class)
         label = F.when(label == open_class, -1).otherwise(label)
     model = CentroidModel.fit_vectors(trained, "embedding", dims=dims)
-    prob = model.vector_prob("embedding", scale)
-    return rows.select("vec_id", "split", label.alias("y_true"), prob.alias("y_prob"))
+    scored = model.score_vectors(rows, "embedding", scale)
+    return scored.select("vec_id", "split", label.alias("y_true"), "y_prob")
 
 
 def _scored_sql(dims: int = 64, where: str = "true", scale: str = str(SCALE), rounds: str = "") -> str:
@@ -320,10 +320,9 @@ def line_model(rows: DataFrame) -> CentroidModel:
 def line_scores(spark, sf_dir) -> DataFrame:
     """Held-out order lines with probabilities of four digits: tens of thousands of ties."""
     rows = line_rows(spark, sf_dir)
-    prob = line_model(rows).prob(LINE_FEATURES, 20.0, LINE_DIGITS)
-    return rows.where(F.col("split") != "train").select(
-        "line", "split", F.col("_label").alias("y_true"), prob.alias("y_prob")
-    )
+    held = rows.where(F.col("split") != "train")
+    scored = line_model(rows).score(held, LINE_FEATURES, 20.0, LINE_DIGITS)
+    return scored.select("line", "split", F.col("_label").alias("y_true"), "y_prob")
 
 
 # Counts per class and score with running counts; class -1 is the micro average.
@@ -332,7 +331,7 @@ _RANKED = f"""{LINE_PROB},
   counts AS (SELECT class, p, count(*) FILTER (hit) AS pos, count(*) FILTER (NOT hit) AS neg FROM long GROUP BY ALL),
   ranked AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY class) AS np,
     sum(neg) OVER (PARTITION BY class) AS nn, lead(pos) OVER o AS next_pos, lead(neg) OVER o AS next_neg,
-    row_number() OVER o AS at FROM counts
+    row_number() OVER o AS place FROM counts
     WINDOW w AS (PARTITION BY class ORDER BY p DESC ROWS UNBOUNDED PRECEDING), o AS (PARTITION BY class ORDER BY p DESC)),
   areas AS (SELECT class, any_value(np)::BIGINT AS positives, any_value(nn)::BIGINT AS negatives,
     CASE WHEN any_value(np) > 0 AND any_value(nn) > 0 THEN sum(neg * (tp - pos / 2)) / (any_value(np) * any_value(nn)::DOUBLE) END AS roc_auc,
@@ -368,9 +367,9 @@ def auc_summary(spark, sf_dir):
     return rounded(curves.auc_summary(line_scores(spark, sf_dir)))
 
 
-_ROC_POINTS = """SELECT class, fp / nn AS fpr, tp / np AS tpr, p::DOUBLE AS threshold, at FROM ranked
-    WHERE at = 1 OR next_pos IS NULL OR next_pos <> pos OR next_neg <> neg
-    UNION ALL SELECT class, 0.0, 0.0, 'inf'::DOUBLE, 0 FROM ranked WHERE at = 1"""
+_ROC_POINTS = """SELECT class, fp / nn AS fpr, tp / np AS tpr, p::DOUBLE AS threshold FROM ranked
+    WHERE place = 1 OR next_pos IS NULL OR next_pos <> pos OR next_neg <> neg
+    UNION ALL SELECT class, 0.0, 0.0, 'inf'::DOUBLE FROM ranked WHERE place = 1"""
 
 
 @catalog.query(
@@ -383,7 +382,7 @@ def roc_curve(spark, sf_dir):
 
 @catalog.query(
     "roc_macro_curve",
-    f"""WITH {_RANKED}, steps AS (SELECT class, at, fp - neg AS f0, tp - pos AS t0, fp AS f1, tp AS t1, np, nn FROM ranked WHERE class >= 0 AND neg > 0),
+    f"""WITH {_RANKED}, steps AS (SELECT class, fp - neg AS f0, tp - pos AS t0, fp AS f1, tp AS t1, np, nn FROM ranked WHERE class >= 0 AND neg > 0),
     grid AS (SELECT range AS g FROM range(2000)),
     inner_points AS (SELECT g, (t0 + (g * nn / 2000.0 - f0) / (f1 - f0) * (t1 - t0)) / np AS tpr
       FROM grid JOIN steps ON f0 * 2000 <= g * nn AND g * nn < f1 * 2000),
@@ -408,11 +407,11 @@ THIN_POINTS = 500
 
 @catalog.query(
     "thin_curve",
-    f"""WITH c AS (SELECT o_orderstatus, o_orderkey, o_totalprice, row_number() OVER w - 1 AS at, count(*) OVER (PARTITION BY o_orderstatus) AS n
+    f"""WITH c AS (SELECT o_orderstatus, o_orderkey, o_totalprice, row_number() OVER w - 1 AS place, count(*) OVER (PARTITION BY o_orderstatus) AS n
       FROM orders WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_orderkey)),
-    kept AS (SELECT DISTINCT o_orderstatus, (i.range * (n - 1)) // {THIN_POINTS - 1} AS at FROM (SELECT DISTINCT o_orderstatus, n FROM c), range({THIN_POINTS}) i)
-    SELECT c.o_orderstatus, o_orderkey, o_totalprice FROM c LEFT JOIN kept USING (o_orderstatus, at)
-    WHERE n <= {THIN_POINTS} OR kept.at IS NOT NULL""",
+    kept AS (SELECT DISTINCT o_orderstatus, (i.range * (n - 1)) // {THIN_POINTS - 1} AS place FROM (SELECT DISTINCT o_orderstatus, n FROM c), range({THIN_POINTS}) i)
+    SELECT c.o_orderstatus, o_orderkey, o_totalprice FROM c LEFT JOIN kept USING (o_orderstatus, place)
+    WHERE n <= {THIN_POINTS} OR kept.place IS NOT NULL""",
 )
 def thin_curve(spark, sf_dir):
     orders = read(spark, sf_dir, "orders").select("o_orderstatus", "o_orderkey", "o_totalprice")
@@ -521,8 +520,8 @@ def _unique_sql(split: str) -> str:
 
 
 def _permuted(rows: DataFrame, model: CentroidModel) -> DataFrame:
-    score = lambda copies: copies.select(
-        "feature", "repeat", F.col("_label").alias("y_true"), model.prob(LINE_FEATURES, 20.0).alias("y_prob")
+    score = lambda copies: model.score(copies, LINE_FEATURES, 20.0).select(
+        "feature", "repeat", F.col("_label").alias("y_true"), "y_prob"
     )
     return importance.permutation_importance(
         rows, "line", LINE_FEATURES, score, N_LINE_CLASSES, REPEATS, SEED
@@ -569,16 +568,13 @@ def staged_scores(spark, sf_dir) -> DataFrame:
     rows = _embeddings(spark, sf_dir)
     model = CentroidModel.fit_vectors(rows.where(F.col("split") == "train"), "embedding")
     sets = F.when(F.col("split") == "train", "train").when(F.col("split") == "validation", "val")
-    return (
-        rows.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(ROUNDS))))
-        .withColumn("y_prob", model.vector_prob("embedding", F.col("round").cast("double")))
-        .select(
-            F.lit("staged").alias("run"),
-            "round",
-            sets.otherwise("monitor").alias("eval_set"),
-            F.col("_label").alias("y_true"),
-            "y_prob",
-        )
+    rounds = rows.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(ROUNDS))))
+    return model.score_vectors(rounds, "embedding", F.col("round").cast("double")).select(
+        F.lit("staged").alias("run"),
+        "round",
+        sets.otherwise("monitor").alias("eval_set"),
+        F.col("_label").alias("y_true"),
+        "y_prob",
     )
 
 

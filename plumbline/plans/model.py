@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Model
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -60,21 +62,20 @@ class FittedModel:
 
     def score(self, frame: DataFrame, label: str = "_label") -> DataFrame:
         """The input columns plus y_true and y_prob, class by class. One pass, no shuffle."""
-        ready = self.prepare.apply(frame)
+        out = self.prepare.apply(frame)
         if isinstance(self.model, OneVsRestModel):
-            margin = vector_to_array(self.model.getRawPredictionCol())
-            raw = self.model.transform(ready).select(*frame.columns, margin.alias("_margin"))
-            # Spark's boosted trees use the loss whose probability is 1 / (1 + exp(-2 margin)).
-            single = F.transform("_margin", lambda m: 1 / (1 + F.exp(-2 * m)))
-            total = F.aggregate("_single", F.lit(0.0), lambda a, p: a + p)
-            scored = raw.withColumn("_single", single).withColumn(
-                "y_prob", F.transform("_single", lambda p: (p / total).cast("float"))
-            )
-            return scored.select(*frame.columns, F.col(label).alias("y_true"), "y_prob")
-        prob = vector_to_array("probability", "float32")
-        return self.model.transform(ready).select(
-            *frame.columns, F.col(label).alias("y_true"), prob.alias("y_prob")
-        )
+            names = [f"_p{c}" for c in range(self.n_classes)]
+            for name, one in zip(names, self.model.models, strict=True):
+                binary = one.copy().setProbabilityCol(name)
+                out = binary.setRawPredictionCol("").setPredictionCol("").transform(out)
+            singles = {name: vector_to_array(name)[1] for name in names}
+            total = sum((F.col(n) for n in names[1:]), F.col(names[0]))
+            out = out.withColumns(singles).withColumn("_total", total)
+            prob = F.array(*[(F.col(n) / F.col("_total")).cast("float") for n in names])
+        else:
+            out = self.model.transform(out)
+            prob = vector_to_array("probability", "float32")
+        return out.select(*frame.columns, F.col(label).alias("y_true"), prob.alias("y_prob"))
 
     def tree_nodes(self, spark: SparkSession, path: str) -> DataFrame:
         """(feature, gain) of every split node, read from the saved model."""
@@ -134,9 +135,7 @@ def fit_multiclass(
         one = GBTClassifier(
             featuresCol=FEATURES, maxIter=rounds, maxDepth=depth, stepSize=learning_rate, seed=seed
         )
-        fit = OneVsRest(
-            classifier=one, featuresCol=FEATURES, rawPredictionCol="_raw", parallelism=parallelism
-        )
+        fit = OneVsRest(classifier=one, featuresCol=FEATURES, parallelism=parallelism)
     elif learner == "forest":
         fit = RandomForestClassifier(featuresCol=FEATURES, numTrees=rounds, maxDepth=depth, seed=seed)
     else:
@@ -183,32 +182,51 @@ class CentroidModel:
     def n_classes(self) -> int:
         return len(self.centroids)
 
-    def _softmax(self, margins: Column, digits: int) -> Column:
-        top = F.array_max(margins)
-        powers = F.transform(margins, lambda m: F.exp(m - top))
-        total = F.aggregate(powers, F.lit(0.0), lambda a, p: a + p)
-        return F.transform(powers, lambda p: F.round(p / total, digits).cast("float"))
-
-    def prob(self, features: Sequence[str], scale: Column | float = 1.0, digits: int = 6) -> Column:
-        """Class probabilities from minus the squared distance, as one expression."""
-        scale = scale if isinstance(scale, Column) else F.lit(float(scale))
-        margins = []
-        for c in sorted(self.centroids):
-            squares = [(F.col(f).cast("double") - m) * (F.col(f).cast("double") - m)
-                       for f, m in zip(features, self.centroids[c], strict=True)]
-            margins.append(-sum(squares[1:], squares[0]) * scale)
-        return self._softmax(F.array(*margins), digits)
-
-    def vector_prob(self, vector: str, scale: Column | float = 1.0, digits: int = 6) -> Column:
-        """The same for an array column."""
-        scale = scale if isinstance(scale, Column) else F.lit(float(scale))
-        margins = []
-        for c in sorted(self.centroids):
-            mean = F.array(*[F.lit(m) for m in self.centroids[c]])
-            squares = F.zip_with(
-                F.slice(vector, 1, len(self.centroids[c])),
-                mean,
-                lambda x, m: (x.cast("double") - m) * (x.cast("double") - m),
-            )
-            margins.append(-F.aggregate(squares, F.lit(0.0), lambda a, x: a + x) * scale)
-        return self._softmax(F.array(*margins), digits)
+    def score(
+        self, frame: DataFrame, features: Sequence[str], scale: float = 1.0, digits: int = 6
+    ) -> DataFrame:
+        """Add y_prob: softmax of minus the squared distance, in generated code.
+
+        The steps are separate columns, so every distance is computed once per row.
+        """
+        classes = sorted(self.centroids)
+        margins = {}
+        for c in classes:
+            gaps = [F.col(f).cast("double") - m for f, m in zip(features, self.centroids[c], strict=True)]
+            squares = [gap * gap for gap in gaps]
+            margins[f"_m{c}"] = -sum(squares[1:], squares[0]) * F.lit(float(scale))
+        names = list(margins)
+        top = F.greatest(*names) if len(names) > 1 else F.col(names[0])
+        powers = {f"_e{c}": F.exp(F.col(f"_m{c}") - F.col("_top")) for c in classes}
+        total = sum((F.col(e) for e in list(powers)[1:]), F.col(next(iter(powers))))
+        shares = [F.round(F.col(e) / F.col("_total"), digits).cast("float") for e in powers]
+        return (
+            frame.withColumns(margins)
+            .withColumn("_top", top)
+            .withColumns(powers)
+            .withColumn("_total", total)
+            .withColumn("y_prob", F.array(*shares))
+            .drop(*names, "_top", *powers, "_total")
+        )
+
+    def score_vectors(
+        self, frame: DataFrame, vector: str, scale: Column | float = 1.0, digits: int = 6
+    ) -> DataFrame:
+        """The same for an array column, as one matrix product per Arrow batch."""
+        means = np.array([self.centroids[c] for c in sorted(self.centroids)])
+        lengths = (means * means).sum(axis=1)
+
+        @F.arrow_udf("array<float>")
+        def softmax(vectors: pa.Array, scales: pa.Array) -> pa.Array:
+            n = len(vectors)
+            rows = vectors.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+            rows = rows[:, : means.shape[1]].astype(np.float64)
+            # The squared length of a row is the same for every class and cancels.
+            margins = (2 * rows @ means.T - lengths) * scales.to_numpy(zero_copy_only=False)[:, None]
+            powers = np.exp(margins - margins.max(axis=1, keepdims=True))
+            shares = np.round(powers / powers.sum(axis=1, keepdims=True), digits).astype(np.float32)
+            offsets = pa.array(np.arange(n + 1, dtype=np.int32) * means.shape[0])
+            return pa.ListArray.from_arrays(offsets, pa.array(shares.ravel()))
+
+        factor = scale if isinstance(scale, Column) else F.lit(float(scale))
+        return frame.withColumn("y_prob", softmax(F.col(vector), factor.cast("double")))
