@@ -12,10 +12,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.catalog import Catalog
-from plumbline.catalog.tables import RATIOS, SEED, r, read, rounded, split_case
+from plumbline.catalog.tables import (
+    LINES,
+    RATIOS,
+    ROW,
+    SEED,
+    lines,
+    r,
+    read,
+    rounded,
+    split_case,
+)
 from plumbline.operators import curves, decisions, history, importance, metrics, sampling
 from plumbline.operators.ordered import with_range_bucket
-from plumbline.operators.splits import hash_split
+from plumbline.operators.splits import hash_split, row_identity
 from plumbline.plans.model import CentroidModel, fit_multiclass
 from plumbline.plans.report import report_tables, summary_metrics
 from plumbline.session import fresh_path
@@ -276,27 +286,23 @@ def mixed_open_set_guard(spark, sf_dir):
 
 def line_rows(spark, sf_dir) -> DataFrame:
     """Order lines with a class code, four scaled features and a split by order."""
-    lines = read(spark, sf_dir, "lineitem")
     flag = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
     status = F.when(F.col("l_linestatus") == "F", 0).otherwise(1)
-    return lines.select(
-        F.concat_ws(
-            "|", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")],
-            F.col("l_extendedprice").cast("decimal(18,2)").cast("string"),
-        ).alias("line"),
+    return lines(spark, sf_dir).select(
+        row_identity().alias("line"),
         (flag * 2 + status).cast("int").alias("_label"),
         hash_split(F.col("l_orderkey"), RATIOS, SEED).alias("split"),
         (F.col("l_quantity") / 50).alias("f_quantity"),
         (F.col("l_extendedprice") / 100000).alias("f_price"),
         (F.col("l_discount") * 10).alias("f_discount"),
         (F.col("l_tax") * 12.5).alias("f_tax"),
-    )
+    )
 
 
-_LINE_ROWS = f"""line_rows AS (SELECT l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || l_suppkey || '|' || l_extendedprice::DECIMAL(18,2) AS line,
+_LINE_ROWS = f"""{LINES}, line_rows AS (SELECT {ROW} AS line,
     (CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END * 2 + CASE l_linestatus WHEN 'F' THEN 0 ELSE 1 END) AS y_true,
-    {split_case("l_orderkey")} AS split, row_number() OVER () AS n,
-    l_quantity / 50 AS f_quantity, l_extendedprice / 100000 AS f_price, l_discount * 10 AS f_discount, l_tax * 12.5 AS f_tax FROM lineitem),
+    {split_case("l_orderkey")} AS split, rid AS n,
+    l_quantity / 50 AS f_quantity, l_extendedprice / 100000 AS f_price, l_discount * 10 AS f_discount, l_tax * 12.5 AS f_tax FROM lines),
   means AS (SELECT y_true AS class, round(avg(f_quantity), 6) AS m1, round(avg(f_price), 6) AS m2,
     round(avg(f_discount), 6) AS m3, round(avg(f_tax), 6) AS m4 FROM line_rows WHERE split = 'train' GROUP BY 1)"""
 
@@ -479,12 +485,8 @@ def report(spark, sf_dir):
 REPEATS = 2
 
 
-def _unique_lines(spark, sf_dir, split: str) -> DataFrame:
-    """Lines of one split, one row per identity."""
-    rows = line_rows(spark, sf_dir).where(F.col("split") == split)
-    return rows.groupBy("line").agg(
-        *[F.min(c).alias(c) for c in ("_label", "split", *LINE_FEATURES)]
-    )
+def _lines_of(spark, sf_dir, split: str) -> DataFrame:
+    return line_rows(spark, sf_dir).where(F.col("split") == split)
 
 
 def _copies_sql(source: str) -> str:
@@ -514,9 +516,8 @@ def _permutation_sql(source: str) -> str:
     row_number() OVER (ORDER BY m DESC, feature)::INTEGER AS rank, m <= s AS within_noise FROM drops"""
 
 
-def _unique_sql(split: str) -> str:
-    columns = ", ".join(f"min({c}) AS {c}" for c in ("y_true", "split", *LINE_FEATURES))
-    return f"{_LINE_ROWS}, uniq AS (SELECT line, {columns} FROM line_rows WHERE split = '{split}' GROUP BY line)"
+def _lines_sql(split: str) -> str:
+    return f"{_LINE_ROWS}, picked AS (SELECT * FROM line_rows WHERE split = '{split}')"
 
 
 def _permuted(rows: DataFrame, model: CentroidModel) -> DataFrame:
@@ -528,24 +529,24 @@ def _permuted(rows: DataFrame, model: CentroidModel) -> DataFrame:
     )
 
 
-@catalog.query("permutation_importance", f"WITH {_unique_sql('test')}, {_permutation_sql('uniq')}")
+@catalog.query("permutation_importance", f"WITH {_lines_sql('test')}, {_permutation_sql('picked')}")
 def permutation_importance(spark, sf_dir):
     model = line_model(line_rows(spark, sf_dir))
-    return rounded(_permuted(_unique_lines(spark, sf_dir, "test"), model))
+    return rounded(_permuted(_lines_of(spark, sf_dir, "test"), model))
 
 
 @catalog.query(
     "permutation_validation",
-    f"""WITH {_unique_sql('validation')},
-    n AS (SELECT y_true, count(*) AS rows FROM uniq GROUP BY 1), t AS (SELECT sum(rows) AS total, (sum(rows) // 2)::DOUBLE AS budget FROM n),
+    f"""WITH {_lines_sql('validation')},
+    n AS (SELECT y_true, count(*) AS rows FROM picked GROUP BY 1), t AS (SELECT sum(rows) AS total, (sum(rows) // 2)::DOUBLE AS budget FROM n),
     f AS (SELECT y_true, floor(rows * budget / total)::BIGINT AS base, rows * budget / total - floor(rows * budget / total) AS fraction, budget FROM n, t),
     q AS (SELECT y_true, base + (row_number() OVER (ORDER BY fraction DESC, y_true) <= budget - sum(base) OVER ())::INT AS quota FROM f),
-    o AS (SELECT *, row_number() OVER (PARTITION BY y_true ORDER BY md5('{SEED}|' || line)) AS rn FROM uniq),
+    o AS (SELECT *, row_number() OVER (PARTITION BY y_true ORDER BY md5('{SEED}|' || line)) AS rn FROM picked),
     sampled AS (SELECT o.* FROM o JOIN q USING (y_true) WHERE rn <= quota), {_permutation_sql('sampled')}""",
 )
 def permutation_validation(spark, sf_dir):
     """On a stratified half of the validation split."""
-    rows = _unique_lines(spark, sf_dir, "validation")
+    rows = _lines_of(spark, sf_dir, "validation")
     sampled = sampling.stratified_sample(rows, "_label", rows.count() // 2, F.col("line"), SEED)
     return rounded(_permuted(sampled, line_model(line_rows(spark, sf_dir))))
 
@@ -726,7 +727,7 @@ def fit_forest(spark, sf_dir):
 @catalog.query("select_topk_gain")
 def select_topk_gain(spark, sf_dir):
     """Screening forest on a class-balanced sample of train; the two best features are kept."""
-    train = _unique_lines(spark, sf_dir, "train")
+    train = _lines_of(spark, sf_dir, "train")
     sampled = sampling.balanced_sample(train, "_label", train.count() // 2, F.col("line"), SEED)
     fitted = fit_multiclass(sampled, LINE_FEATURES, learner="forest", rounds=5, depth=TREE_DEPTH)
     gains = fitted.importance(spark, fresh_path(spark, "screening")).select("feature", "gain")

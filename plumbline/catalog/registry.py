@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from plumbline.catalog import Query, evaluating, scanning, splitting
+from plumbline.catalog import Query, evaluating, running, scanning, splitting
 
-MODULES = (scanning, splitting, evaluating)
+MODULES = (scanning, splitting, evaluating, running)
 
 
 def queries() -> dict[str, Query]:

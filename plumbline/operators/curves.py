@@ -27,7 +27,11 @@ MACRO_GRID = 2_000  # the grid has one point more than it has steps
 
 def score_counts(scored: DataFrame, by: Sequence[str] = (), micro: bool = True) -> DataFrame:
     """(by, class, score, pos, neg, _bucket) per distinct float32 score."""
-    exploded = scored.select(*by, "y_true", F.posexplode("y_prob").alias("class", "score"))
+    # The outer form keeps the optimizer from copying the whole score expression into a
+    # filter below the scoring step; empty vectors are dropped right after.
+    exploded = scored.select(
+        *by, "y_true", F.posexplode_outer("y_prob").alias("class", "score")
+    ).where(F.col("class").isNotNull())
     hit = F.col("y_true") == F.col("class")
     counted = (
         exploded.withColumn("score", F.col("score").cast("float"))
