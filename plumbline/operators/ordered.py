@@ -27,11 +27,10 @@ def score_bucket(score: Column) -> Column:
     values, however the scores are distributed.
     """
     size = F.floor(F.log2(F.abs(score).cast("double")) * LOG_STEPS).cast("int")
-    return (
-        F.when(score > 0, -size)
-        .when(score < 0, F.lit(2 * ZERO_BUCKET) + size)
-        .otherwise(F.lit(ZERO_BUCKET))
-    )
+    signed = F.when(score > 0, -size).when(score < 0, F.lit(2 * ZERO_BUCKET) + size)
+    # Never NULL, also for the optimizer: a join on it then adds no filter to one side, and
+    # both sides share one shuffle.
+    return F.coalesce(signed, F.lit(ZERO_BUCKET))
 
 
 def with_range_bucket(
