@@ -49,10 +49,12 @@ catalog = Catalog()
 AUDIT_DIVISOR = 8
 
 
-def assigned(spark: SparkSession, sf_dir: str, strategy: str = "group_aware") -> DataFrame:
+def assigned(
+    spark: SparkSession, sf_dir: str, strategy: str = "group_aware", identity: bool = False
+) -> DataFrame:
     """lineitem with policy flags and a split, as every check below takes it."""
     return accounting.classify_and_split(
-        lines(spark, sf_dir),
+        lines(spark, sf_dir, identity or strategy == "row_hash"),
         POLICY,
         strategy=strategy,
         seed=SEED,
@@ -65,7 +67,7 @@ def assigned(spark: SparkSession, sf_dir: str, strategy: str = "group_aware") ->
 
 
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return labels.apply_policy(lines(spark, sf_dir), POLICY)
+    return labels.apply_policy(lines(spark, sf_dir, False), POLICY)
 
 
 # ---- labels -----------------------------------------------------------------------------------------
@@ -102,7 +104,7 @@ def label_guard(spark, sf_dir):
     f"WITH {CLASSIFIED} SELECT label, count(*) AS rows FROM merged GROUP BY 1",
 )
 def merge_labels(spark, sf_dir):
-    merged = lines(spark, sf_dir).withColumn("label", POLICY.merged(F.col("label")))
+    merged = lines(spark, sf_dir, False).withColumn("label", POLICY.merged(F.col("label")))
     return merged.groupBy("label").agg(F.count("*").alias("rows"))
 
 
@@ -276,7 +278,7 @@ def group_key(spark, sf_dir):
     SELECT l_orderkey, min(split) AS split, count(DISTINCT split) AS splits, count(*) AS rows FROM s GROUP BY 1""",
 )
 def group_split(spark, sf_dir):
-    rows = assign_split(lines(spark, sf_dir), "group_aware", SEED, RATIOS, ["l_orderkey"])
+    rows = assign_split(lines(spark, sf_dir, False), "group_aware", SEED, RATIOS, ["l_orderkey"])
     code = F.when(F.col("split") == "train", 1).when(F.col("split") == "validation", 2).otherwise(4)
     return rows.groupBy("l_orderkey").agg(
         F.min("split").alias("split"),
@@ -290,7 +292,7 @@ def group_split(spark, sf_dir):
     f"""WITH {LINES} SELECT day, {DAY_SPLIT} AS split, count(*) AS rows FROM lines GROUP BY ALL""",
 )
 def day_split_query(spark, sf_dir):
-    rows = lines(spark, sf_dir)
+    rows = lines(spark, sf_dir, False)
     split = day_split(
         F.col("day"), group_identity(rows, ["l_orderkey"]), DAY_ROLES, VALIDATION_FRACTION, SEED
     )
@@ -364,7 +366,7 @@ def leakage_exact(spark, sf_dir):
 
 @catalog.query("leakage_group_split", f"WITH {_ids_sql(GROUP_SPLIT)} {_EXACT_SQL}")
 def leakage_group_split(spark, sf_dir):
-    rows = assign_split(lines(spark, sf_dir), "group_aware", SEED, RATIOS, ["l_orderkey"])
+    rows = assign_split(lines(spark, sf_dir, False), "group_aware", SEED, RATIOS, ["l_orderkey"])
     line = F.concat_ws("|", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
     return audit.leakage_exact(audit.identities(rows.withColumn("line", line), "line", "l_orderkey"))
 
@@ -401,7 +403,7 @@ def leakage_sampled(spark, sf_dir):
 )
 def audit_scope(spark, sf_dir):
     rows = assign_split(
-        lines(spark, sf_dir),
+        lines(spark, sf_dir, False),
         "by_capture_day",
         SEED,
         RATIOS,
@@ -494,7 +496,7 @@ def preflight_coverage(spark, sf_dir):
 def preflight_agrees(spark, sf_dir):
     """A split made without the label policy does not agree with one made with it."""
     planned = drop_unassigned(assigned(spark, sf_dir)).select("label", "split").distinct()
-    careless = assign_split(lines(spark, sf_dir), "group_aware", SEED, RATIOS, ["l_orderkey"])
+    careless = assign_split(lines(spark, sf_dir, False), "group_aware", SEED, RATIOS, ["l_orderkey"])
     return accounting.preflight_agrees(planned, careless.select("label", "split").distinct())
 
 
@@ -520,7 +522,7 @@ def row_accounting(spark, sf_dir):
 )
 def label_integrity(spark, sf_dir):
     """A careless encoding: withheld rows in every split, codes that start at one."""
-    rows = assign_split(lines(spark, sf_dir), "group_aware", SEED, RATIOS, ["l_orderkey"])
+    rows = assign_split(lines(spark, sf_dir, False), "group_aware", SEED, RATIOS, ["l_orderkey"])
     code = F.when(F.col("label") == "R-F", F.lit(-1)).otherwise(F.col("l_linenumber"))
     return accounting.label_integrity(rows.withColumn("_label", code))
 

@@ -29,9 +29,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lines(spark: SparkSession, sf_dir: str, identity: bool = True) -> DataFrame:
     """lineitem with row identity, a label of six values and the shipping year as the day."""
-    frame = with_row_identity(read(spark, sf_dir, "lineitem"), sf_dir)
+    frame = read(spark, sf_dir, "lineitem")
+    if identity:
+        frame = with_row_identity(frame, sf_dir)
     return frame.withColumn("label", F.concat_ws("-", "l_returnflag", "l_linestatus")).withColumn(
         "day", F.year("l_shipdate").cast("string")
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.checks import guard
@@ -11,6 +11,21 @@ from plumbline.operators.labels import OPEN_SET_CODE, LabelPolicy, apply_policy
 from plumbline.operators.splits import SPLITS, assign_split
 
 
+def _rows(condition: Column, rows: str | None) -> Column:
+    """Rows that meet a condition; ``rows`` names a count column of a table counted before."""
+    if rows is None:
+        return F.count_if(condition)
+    return F.coalesce(F.sum(F.when(condition, F.col(rows))), F.lit(0)).cast("bigint")
+
+
+def counted(assigned: DataFrame, label: str = "label", file: str = "_relative_path") -> DataFrame:
+    """Rows per (file, label, keep, open_set, split): one narrow pass that the class counts, the
+    inventory and the row account are all read from."""
+    return assigned.groupBy(file, label, "keep", "open_set", "split").agg(
+        F.count("*").alias("rows")
+    )
+
+
 def split_class_counts(frame: DataFrame, label: str = "label") -> DataFrame:
     """label x split counts, open-set labels apart from trainable ones."""
     return frame.groupBy(label, "open_set").agg(
@@ -18,12 +33,12 @@ def split_class_counts(frame: DataFrame, label: str = "label") -> DataFrame:
     )
 
 
-def split_class_rows(frame: DataFrame, label: str = "label") -> DataFrame:
+def split_class_rows(frame: DataFrame, label: str = "label", rows: str | None = None) -> DataFrame:
     """The same counts in long form (label, open_set, split, rows)."""
     return (
         frame.where(F.col("split").isNotNull())
         .groupBy(label, "open_set", "split")
-        .agg(F.count("*").alias("rows"))
+        .agg(_rows(F.lit(True), rows).alias("rows"))
     )
 
 
@@ -84,15 +99,17 @@ def preflight_agrees(preflight: DataFrame, realised: DataFrame, fail: bool = Fal
     return guard(left.unionByName(right), fail, "Preflight disagrees with the realised split")
 
 
-def row_accounting(assigned: DataFrame, fail: bool = False) -> DataFrame:
+def row_accounting(
+    assigned: DataFrame, fail: bool = False, rows: str | None = None
+) -> DataFrame:
     """read - excluded by label - excluded by split = written, as one row."""
     kept, placed = F.col("keep"), F.col("split").isNotNull()
     account = (
         assigned.agg(
-            F.count("*").alias("rows_read"),
-            F.count_if(~kept).alias("excluded_by_label"),
-            F.count_if(kept & ~placed).alias("excluded_by_split"),
-            *[F.count_if(kept & (F.col("split") == s)).alias(f"rows_{s}") for s in SPLITS],
+            _rows(F.lit(True), rows).alias("rows_read"),
+            _rows(~kept, rows).alias("excluded_by_label"),
+            _rows(kept & ~placed, rows).alias("excluded_by_split"),
+            *[_rows(kept & (F.col("split") == s), rows).alias(f"rows_{s}") for s in SPLITS],
         )
         .withColumn("rows_written", F.col("rows_train") + F.col("rows_validation") + F.col("rows_test"))
         .withColumn(
@@ -105,11 +122,13 @@ def row_accounting(assigned: DataFrame, fail: bool = False) -> DataFrame:
     return account
 
 
-def source_inventory(assigned: DataFrame, plan: DataFrame, file: str = "_relative_path") -> DataFrame:
+def source_inventory(
+    assigned: DataFrame, plan: DataFrame, file: str = "_relative_path", rows: str | None = None
+) -> DataFrame:
     """Per source file: physical, planned, read and written rows."""
     read = assigned.groupBy(file).agg(
-        F.count("*").alias("rows_read"),
-        F.count_if(F.col("keep") & F.col("split").isNotNull()).alias("rows_written"),
+        _rows(F.lit(True), rows).alias("rows_read"),
+        _rows(F.col("keep") & F.col("split").isNotNull(), rows).alias("rows_written"),
     )
     return (
         plan.withColumnRenamed("relative_path", file)
@@ -145,9 +164,11 @@ def full_read_gate(
     return guard(bad, fail, "The dataset was not read in full")
 
 
-def label_integrity(prepared: DataFrame, fail: bool = False) -> DataFrame:
+def label_integrity(
+    prepared: DataFrame, fail: bool = False, rows: str | None = None
+) -> DataFrame:
     """Open-set rows outside test, and codes that are not 0..n-1."""
-    counts = prepared.groupBy("split", "_label").agg(F.count("*").alias("rows"))
+    counts = prepared.groupBy("split", "_label").agg(_rows(F.lit(True), rows).alias("rows"))
     misplaced = counts.where(
         (F.col("_label") == OPEN_SET_CODE) & F.col("split").isin("train", "validation")
     ).select(F.lit("open-set rows outside test").alias("problem"), "split", "_label", "rows")

@@ -9,12 +9,12 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from plumbline.functions.lookup import bounded_lookup, bounded_rows
 from plumbline.functions.numeric import clean_float
 from plumbline.operators import accounting, audit, labels, sampling
 from plumbline.operators.splits import check_day_roles, check_ratios, check_strategy, row_identity
+from plumbline.session import fresh_path
 from plumbline.sources import integrity, scan, sink
 
 REQUIRED = ("dataset", "split", "preprocessing", "output", "audit")
@@ -176,10 +176,17 @@ class Preparation:
 
     # ---- checks -----------------------------------------------------------------------------
 
+    @cached_property
+    def counts(self) -> DataFrame:
+        """Rows per file, label, policy and split: one narrow scan, kept as a written table."""
+        path = fresh_path(self.spark, "class-counts")
+        accounting.counted(self.narrow).write.parquet(path)
+        return self.spark.read.parquet(path)
+
     @cached_property
     def class_rows(self) -> DataFrame:
-        """(label, open_set, split, rows): one narrow scan that every later check reuses."""
-        return bounded_lookup(accounting.split_class_rows(self.narrow))
+        """(label, open_set, split, rows), one row per class and split."""
+        return bounded_lookup(accounting.split_class_rows(self.counts, rows="rows"))
 
     def preflight(self, fail: bool = True) -> DataFrame:
         """Coverage before any feature is read; raises on an empty split or a missing class."""
@@ -229,7 +236,10 @@ class Preparation:
         return audit.leakage_exact(ids, self.group_aware)
 
     def inventory(self) -> DataFrame:
-        return accounting.source_inventory(self.narrow, self.plan)
+        return accounting.source_inventory(self.counts, self.plan, rows="rows")
+
+    def account(self, fail: bool = True) -> DataFrame:
+        return accounting.row_accounting(self.counts, fail, rows="rows")
 
     def fingerprint(self) -> DataFrame:
         files = self.source.files.join(self.source.footers, "path").select(
@@ -252,7 +262,7 @@ class Preparation:
         counts = self.preflight()
         inventory = bounded_lookup(self.inventory())
         accounting.sampling_count_check(inventory, fail=True)
-        account = bounded_lookup(accounting.row_accounting(self.narrow, fail=True))
+        account = bounded_lookup(self.account())
         leakage = bounded_lookup(self.leakage())
         audit.enforce_audit(leakage, self.group_aware, self.settings.audit)
         written = sink.write_splits(
@@ -261,10 +271,15 @@ class Preparation:
             int(self.settings.output.get("rows_per_part", sink.ROWS_PER_PART)),
             str(self.settings.output.get("compression", "zstd")),
         )
-        sizes = counts.groupBy("split").agg(F.sum("rows").alias("rows"))
-        sink.check_written(written, sizes)
-        accounting.label_integrity(written, fail=True)
-        realised = labels_of(written, self.mapping, counts)
+        found = bounded_lookup(
+            written.groupBy("_label", F.col("split").cast("string").alias("split")).agg(
+                F.count("*").alias("rows")
+            )
+        )
+        by_split = lambda t: t.groupBy("split").agg(F.sum("rows").alias("rows"))
+        sink.check_counts(by_split(found), by_split(counts))
+        accounting.label_integrity(found, fail=True, rows="rows")
+        realised = labels_of(found, self.mapping)
         accounting.preflight_agrees(
             accounting.missing_classes(counts), accounting.missing_classes(realised), fail=True
         )
@@ -285,19 +300,14 @@ class Preparation:
         return {"splits": written, **tables}
 
 
-def labels_of(written: DataFrame, mapping: DataFrame, counts: DataFrame) -> DataFrame:
-    """(label, open_set, split, rows) counted from what was written."""
-    found = written.groupBy("_label", "split").agg(F.count("*").alias("rows"))
+def labels_of(found: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Written (_label, split, rows) as (label, open_set, split, rows)."""
     named = mapping.withColumnRenamed("code", "_label")
-    return (
-        bounded_lookup(found)
-        .join(named, "_label", "left")
-        .select(
-            F.coalesce("label", F.lit("")).alias("label"),
-            F.col("label").isNull().alias("open_set"),
-            F.col("split").cast(T.StringType()).alias("split"),
-            "rows",
-        )
+    return found.join(named, "_label", "left").select(
+        F.coalesce("label", F.lit("")).alias("label"),
+        F.col("label").isNull().alias("open_set"),
+        "split",
+        "rows",
     )
 
 

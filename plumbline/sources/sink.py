@@ -42,9 +42,13 @@ def write_splits(
 
 def check_written(written: DataFrame, expected: DataFrame, fail: bool = True) -> DataFrame:
     """Splits whose row count on disk differs from the expected (split, rows)."""
-    found = written.groupBy("split").agg(F.count("*").alias("rows_found"))
+    return check_counts(written.groupBy("split").agg(F.count("*").alias("rows")), expected, fail)
+
+
+def check_counts(found: DataFrame, expected: DataFrame, fail: bool = True) -> DataFrame:
+    """As :func:`check_written`, for rows counted before."""
     bad = (
-        expected.join(found, "split", "full_outer")
+        expected.join(found.withColumnRenamed("rows", "rows_found"), "split", "full_outer")
         .na.fill(0, subset=["rows", "rows_found"])
         .where(F.col("rows") != F.col("rows_found"))
     )
