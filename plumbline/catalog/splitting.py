@@ -40,6 +40,7 @@ from plumbline.operators.splits import (
     day_split,
     drop_unassigned,
     group_identity,
+    group_text,
     hash_split,
     unassigned_count,
 )
@@ -265,7 +266,7 @@ def canonical_key(spark, sf_dir):
 
 @catalog.query(
     "group_key",
-    f"SELECT o_orderkey, {text_key('o_custkey', 'nullif(o_orderstatus, $$P$$)')} AS group_key FROM orders",
+    f"SELECT o_orderkey, md5({text_key('o_custkey', 'nullif(o_orderstatus, $$P$$)')}) AS group_key FROM orders",
 )
 def group_key(spark, sf_dir):
     orders = read(spark, sf_dir, "orders").withColumn("s", F.nullif("o_orderstatus", F.lit("P")))
@@ -294,7 +295,7 @@ def group_split(spark, sf_dir):
 def day_split_query(spark, sf_dir):
     rows = lines(spark, sf_dir, False)
     split = day_split(
-        F.col("day"), group_identity(rows, ["l_orderkey"]), DAY_ROLES, VALIDATION_FRACTION, SEED
+        F.col("day"), group_text(rows, ["l_orderkey"]), DAY_ROLES, VALIDATION_FRACTION, SEED
     )
     return rows.groupBy("day", split.alias("split")).agg(F.count("*").alias("rows"))
 

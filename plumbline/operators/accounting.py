@@ -75,8 +75,9 @@ def classify_and_split(
 ) -> DataFrame:
     """Policy flags, then a split for the kept rows. Rows out of scope have a NULL split."""
     classified = apply_policy(frame, policy, label)
-    assigned = assign_split(classified, open_set=F.col("open_set"), **split_arguments)
-    return assigned.withColumn("split", F.when(F.col("keep"), F.col("split")))
+    return assign_split(
+        classified, open_set=F.col("open_set"), keep=F.col("keep"), **split_arguments
+    )
 
 
 def preflight_coverage(assigned: DataFrame, label: str = "label") -> DataFrame:
