@@ -13,8 +13,14 @@ WHITESPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0" + "".join(
 
 
 def strip(column: Column | str) -> Column:
-    """Trim all leading and trailing whitespace, not only spaces."""
-    return F.btrim(_column(column), F.lit(WHITESPACE))
+    """Trim all leading and trailing whitespace, not only spaces.
+
+    Text that starts and ends with a printable ASCII character, as almost all does, is
+    recognised by two code points and left alone.
+    """
+    text = _column(column)
+    plain = [F.ascii(c).between(33, 126) for c in (text, F.substring(text, -1, 1))]
+    return F.when(plain[0] & plain[1], text).otherwise(F.btrim(text, F.lit(WHITESPACE)))
 
 
 def canonical_text(column: Column | str, dtype: T.DataType) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.checks import guard
 from plumbline.functions.lookup import bounded_lookup
 from plumbline.operators.labels import OPEN_SET_CODE, LabelPolicy, apply_policy
-from plumbline.operators.splits import SPLITS, assign_split
+from plumbline.operators.splits import SPLITS, assign_split, drop_unassigned
 
 
 def _rows(condition: Column, rows: str | None) -> Column:
@@ -36,7 +36,7 @@ def split_class_counts(frame: DataFrame, label: str = "label") -> DataFrame:
 def split_class_rows(frame: DataFrame, label: str = "label", rows: str | None = None) -> DataFrame:
     """The same counts in long form (label, open_set, split, rows)."""
     return (
-        frame.where(F.col("split").isNotNull())
+        drop_unassigned(frame)
         .groupBy(label, "open_set", "split")
         .agg(_rows(F.lit(True), rows).alias("rows"))
     )

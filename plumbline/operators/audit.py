@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.checks import guard
 from plumbline.functions.hashing import divisible, seeded_hash
-from plumbline.operators.splits import SPLITS
+from plumbline.operators.splits import SPLITS, drop_unassigned
 
 AUDIT_SALT = "leak-audit"
 PAIRS = (("train", "validation"), ("train", "test"), ("validation", "test"))
@@ -26,7 +26,7 @@ def identities(frame: DataFrame, sample: str | None = None, group: str | None =
         if column is not None
     ]
     return (
-        frame.where(F.col("split").isNotNull())
+        drop_unassigned(frame)
         .select("split", F.explode(F.array(*pairs)).alias("item"))
         .select("item.kind", "item.id", "split")
     )

@@ -12,8 +12,15 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.lookup import bounded_lookup, bounded_rows
 from plumbline.functions.numeric import clean_float
+from plumbline.functions.text import key_text
 from plumbline.operators import accounting, audit, labels, sampling
-from plumbline.operators.splits import check_day_roles, check_ratios, check_strategy, row_identity
+from plumbline.operators.splits import (
+    check_day_roles,
+    check_ratios,
+    check_strategy,
+    drop_unassigned,
+    row_identity,
+)
 from plumbline.session import fresh_path
 from plumbline.sources import integrity, scan, sink
 
@@ -137,6 +144,8 @@ class Preparation:
             seed=self.settings.seed,
             ratios=self.settings.ratios,
             group_columns=self.group_columns if self.group_aware else (),
+            # The source renders key columns as text, layout by layout.
+            group=key_text(*[f"`{c}`" for c in self.group_columns]) if self.group_aware else None,
             day_column=self.day_column,
             day_roles=self.settings.roles,
             validation_fraction=float(split.get("validation_fraction_of_train_day", 0.15)),
@@ -146,7 +155,7 @@ class Preparation:
     def narrow(self) -> DataFrame:
         """Label, split and identity of every row; only key columns are read."""
         return self._assigned([]).select(
-            "label", "keep", "open_set", "split", "_identity",
+            "label", "keep", "open_set", "split", "in_scope", "_identity",
             scan.RELATIVE_PATH, scan.FILE_ID, scan.ROW_ID,
         )
 
@@ -209,7 +218,7 @@ class Preparation:
 
     def prepared(self) -> DataFrame:
         """Clean float features, row identity and label code of every row that has a split."""
-        rows = self._assigned(self.features).where(F.col("split").isNotNull())
+        rows = drop_unassigned(self._assigned(self.features))
         encoded = labels.encode_labels(rows, self.mapping)
         return encoded.select(
             *[clean_float(F.col(f"`{c}`")).alias(c) for c in self.features],
@@ -217,6 +226,7 @@ class Preparation:
             scan.ROW_ID,
             "_label",
             "split",
+            "in_scope",
         )
 
     def leakage(self) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.checks import guard
-from plumbline.operators.splits import SPLITS
+from plumbline.operators.splits import SPLITS, drop_unassigned
 from plumbline.sources.scan import relative_path
 
 ROWS_PER_PART = 262_144
@@ -30,7 +30,8 @@ def write_splits(
     if rows_per_part <= 0:
         raise ValueError("rows_per_part must be positive")
     (
-        prepared.where(F.col("split").isNotNull())
+        drop_unassigned(prepared)
+        .drop("in_scope")
         .write.mode(mode)
         .partitionBy("split")
         .option("maxRecordsPerFile", rows_per_part)

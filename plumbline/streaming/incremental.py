@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.operators import audit
-from plumbline.operators.splits import row_identity
+from plumbline.operators.splits import drop_unassigned, row_identity
 from plumbline.sources.integrity import fingerprint_mismatch
 from plumbline.sources.scan import RELATIVE_PATH, with_row_identity
 from plumbline.sources.sink import ROWS_PER_PART, read_split
@@ -52,7 +52,7 @@ class IncrementalPreparation:
 
     def _batch(self, batch: DataFrame, batch_id: int) -> None:
         assigned = self.assign(batch)
-        placed = assigned.where(F.col("split").isNotNull())
+        placed = drop_unassigned(assigned)
         folder = f"batch={batch_id}"
         (
             placed.select(*self.columns, RELATIVE_PATH, "label", "open_set", "split")
