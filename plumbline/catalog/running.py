@@ -148,7 +148,7 @@ def records(spark, sf_dir) -> DataFrame:
 
 
 def ordered_records(spark, sf_dir) -> DataFrame:
-    return with_range_bucket(records(spark, sf_dir), "observed_at", BUCKET_ROWS)
+    return with_range_bucket(records(spark, sf_dir), "observed_at", BUCKET_ROWS, tie="event_id")
 
 
 _RECORDS = """records AS (SELECT user_id AS run, epoch_us(ts) AS observed_at, event_id, strftime(ts, '%Y-%m-%d') AS session_id, event_type,

@@ -7,6 +7,7 @@ the border, and the two are joined on the keys they are already partitioned by.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -33,26 +34,47 @@ def score_bucket(score: Column) -> Column:
     return F.coalesce(signed, F.lit(ZERO_BUCKET))
 
 
+def _cuts(frame: DataFrame, column: str, n: int) -> list[float]:
+    wide = frame.select(F.col(column).cast("double").alias("_v"))
+    return wide.approxQuantile("_v", [i / n for i in range(1, n)], 0.25 / n)
+
+
+def _bucketed(frame: DataFrame, column: str, cuts: list[float], name: str) -> DataFrame:
+    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
+    bucketizer = Bucketizer(splits=splits, inputCol="_v", outputCol=name, handleInvalid="keep")
+    wide = frame.withColumn("_v", F.col(column).cast("double"))
+    whole = F.coalesce(F.col(name).cast("int"), F.lit(-1))
+    return bucketizer.transform(wide).drop("_v").withColumn(name, whole)
+
+
 def with_range_bucket(
-    frame: DataFrame, order: str, rows_per_bucket: int = ROWS_PER_BUCKET, name: str = "_bucket"
+    frame: DataFrame,
+    order: str,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
+    name: str = "_bucket",
+    tie: str | None = None,
 ) -> DataFrame:
     """Add a bucket number that grows with ``order``, cut at the quantiles of the whole table.
 
-    Two narrow passes (a count and a quantile sketch) decide the cuts; they are then literals
-    in the plan, so the same row always falls in the same bucket.
+    Narrow passes (a count and quantile sketches) decide the cuts; they are then literals in
+    the plan, so the same row always falls in the same bucket. A value that fills several
+    quantiles by itself gets its own bucket, which is cut again along ``tie``, the numeric
+    column that orders equal values.
     """
-    wide = F.col(order).cast("double")
     total = frame.count()
     n = min(MAX_BUCKETS, -(-total // rows_per_bucket))
     if n <= 1:
         return frame.withColumn(name, F.lit(0))
-    cuts = frame.select(wide.alias("_v")).approxQuantile(
-        "_v", [i / n for i in range(1, n)], 0.25 / n
-    )
-    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
-    bucketizer = Bucketizer(splits=splits, inputCol="_v", outputCol=name, handleInvalid="keep")
-    bucketed = bucketizer.transform(frame.withColumn("_v", wide)).drop("_v")
-    return bucketed.withColumn(name, F.col(name).cast("int"))
+    cuts = _cuts(frame, order, n)
+    heavy = sorted({cut for cut, after in zip(cuts, cuts[1:], strict=False) if cut == after})
+    if not heavy or tie is None:
+        return _bucketed(frame, order, cuts, name)
+    alone = [math.nextafter(value, math.inf) for value in heavy]
+    is_heavy = F.col(order).cast("double").isin(heavy)
+    ties = sorted(set(_cuts(frame.where(is_heavy), tie, n)))
+    split = _bucketed(_bucketed(frame, order, [*cuts, *alone], name), tie, ties, "_tie")
+    within = F.when(is_heavy, F.col("_tie")).otherwise(F.lit(0))
+    return split.withColumn(name, F.col(name) * (len(ties) + 1) + within).drop("_tie")
 
 
 def with_micros(frame: DataFrame, column: str, name: str = "_micros") -> DataFrame:

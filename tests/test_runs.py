@@ -53,6 +53,18 @@ def test_hot_run_is_spread_over_buckets(spark):
     assert largest < 400
 
 
+def test_hot_value_is_cut_along_the_tie(spark):
+    """A third of one run's records carry the same time."""
+    time = F.when(F.col("id") % 3 == 0, 2_500).otherwise(F.col("id"))
+    rows = spark.range(5_000).select(F.lit(1).alias("run"), "id", time.alias("t"))
+    bucketed = ordered.with_range_bucket(rows, "t", 200, tie="id")
+    assert bucketed.groupBy("_bucket").count().agg(F.max("count")).first()[0] < 500
+    got = ordered.with_previous(bucketed, ["run"], "_bucket", ["t", "id"], ["id"]).select("id", "prev_id")
+    w = Window.partitionBy("run").orderBy("t", "id")
+    expected = rows.select("id", F.lag("id").over(w).alias("prev_id"))
+    assert got.count() == 5_000 and got.exceptAll(expected).isEmpty()
+
+
 # ---- importance --------------------------------------------------------------------------------------------
 
 
