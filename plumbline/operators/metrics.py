@@ -76,11 +76,28 @@ def _ratio(top: Column, bottom: Column) -> Column:
     return F.when(bottom > 0, top / bottom).otherwise(F.lit(0.0))
 
 
+def _loss() -> Column:
+    """-ln p[true], with p kept float32 eps away from 0 and 1."""
+    chosen = F.element_at("y_prob", F.col("y_true") + 1).cast("double")
+    return -F.ln(F.least(F.greatest(chosen, F.lit(FLOAT32_EPS)), F.lit(1.0 - FLOAT32_EPS)))
+
+
+def prediction_counts(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, y_true, y_pred, rows, loss): all that the figures of a hard decision need."""
+    return (
+        with_prediction(scored)
+        .groupBy(*by, "y_true", "y_pred")
+        .agg(F.count("*").alias("rows"), F.sum(_loss()).alias("loss"))
+    )
+
+
 def per_class_metrics(scored: DataFrame, n_classes: int, by: Sequence[str] = ()) -> DataFrame:
     """support, precision, recall and F1 of every class; 0 where a ratio is undefined."""
-    counted = (
-        with_prediction(scored).groupBy(*by, "y_true", "y_pred").agg(F.count("*").alias("rows"))
-    )
+    return per_class_of(prediction_counts(scored, by).drop("loss"), n_classes, by)
+
+
+def per_class_of(counted: DataFrame, n_classes: int, by: Sequence[str] = ()) -> DataFrame:
+    """:func:`per_class_metrics` from rows counted per (y_true, y_pred)."""
     hit = F.when(F.col("y_true") == F.col("y_pred"), F.col("rows")).otherwise(0)
     none = F.lit(0).cast("bigint")
     sides = F.array(
@@ -164,9 +181,7 @@ def mcc(per_class: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def log_loss(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Mean -ln p[true], with p kept float32 eps away from 0 and 1."""
-    chosen = F.element_at("y_prob", F.col("y_true") + 1).cast("double")
-    clipped = F.least(F.greatest(chosen, F.lit(FLOAT32_EPS)), F.lit(1.0 - FLOAT32_EPS))
-    return scored.groupBy(*by).agg((-F.avg(F.ln(clipped))).alias("log_loss"))
+    return scored.groupBy(*by).agg(F.avg(_loss()).alias("log_loss"))
 
 
 def minority_class(per_class: DataFrame, by: Sequence[str] = ()) -> DataFrame:

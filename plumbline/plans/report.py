@@ -18,10 +18,12 @@ PLOT_ROWS = 2_000_000
 def summary_metrics(scored: DataFrame, n_classes: int) -> DataFrame:
     """One wide row, the two headline figures first.
 
+    Two passes over the scores: counts of hard decisions, and the ranked walk behind the areas.
     Every part is one row of figures; the parts are stacked as (name, value) and folded into
     one row, so nothing is joined.
     """
-    per_class = bounded_lookup(metrics.per_class_metrics(scored, n_classes))
+    counted = bounded_lookup(metrics.prediction_counts(scored))
+    per_class = metrics.per_class_of(counted, n_classes)
     parts = [
         metrics.macro_scores(per_class),
         metrics.balanced_accuracy(per_class),
@@ -32,7 +34,7 @@ def summary_metrics(scored: DataFrame, n_classes: int) -> DataFrame:
             F.sum("support").alias("test_samples"),
         ),
         metrics.minority_class(per_class),
-        metrics.log_loss(scored),
+        counted.agg((F.sum("loss") / F.sum("rows")).alias("log_loss")),
         curves.auc_summary(scored),
     ]
     integral = ("minority_class", "minority_support", "test_samples")

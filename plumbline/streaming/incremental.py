@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from plumbline.operators import audit
 from plumbline.operators.splits import drop_unassigned, row_identity
 from plumbline.sources.integrity import fingerprint_mismatch
-from plumbline.sources.scan import RELATIVE_PATH, with_row_identity
+from plumbline.sources.scan import FILE_ID, RELATIVE_PATH, ROW_ID, with_row_identity
 from plumbline.sources.sink import ROWS_PER_PART, read_split
 
 
@@ -51,11 +51,20 @@ class IncrementalPreparation:
     # ---- running ---------------------------------------------------------------------------
 
     def _batch(self, batch: DataFrame, batch_id: int) -> None:
-        assigned = self.assign(batch)
+        needed = [
+            *self.columns, RELATIVE_PATH, FILE_ID, ROW_ID,
+            "label", "keep", "open_set", "split", "in_scope", "_identity",
+        ]
+        assigned = self.assign(batch).select(*dict.fromkeys(needed)).persist()
+        try:
+            self._write(assigned, f"batch={batch_id}")
+        finally:
+            assigned.unpersist()
+
+    def _write(self, assigned: DataFrame, folder: str) -> None:
         placed = drop_unassigned(assigned)
-        folder = f"batch={batch_id}"
         (
-            placed.select(*self.columns, RELATIVE_PATH, "label", "open_set", "split")
+            placed.select(*self.columns, "label", "open_set", "split", RELATIVE_PATH)
             .write.mode("overwrite")
             .partitionBy("split")
             .option("maxRecordsPerFile", self.rows_per_part)
