@@ -78,7 +78,7 @@ def _ratio(top: Column, bottom: Column) -> Column:
 
 def _loss() -> Column:
     """-ln p[true], with p kept float32 eps away from 0 and 1."""
-    chosen = F.element_at("y_prob", F.col("y_true") + 1).cast("double")
+    chosen = F.get("y_prob", F.col("y_true").cast("int")).cast("double")
     return -F.ln(F.least(F.greatest(chosen, F.lit(FLOAT32_EPS)), F.lit(1.0 - FLOAT32_EPS)))
 
 
