@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.catalog import Catalog
-from plumbline.llm import mixing, packing, rules
-from plumbline.llm.frames import read
+from plumbline.llm import language, mixing, packing, passages, quality, rules, toxicity
+from plumbline.llm.frames import held_out, read
 
 catalog = Catalog()
 
@@ -91,3 +91,59 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(read(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+@catalog.query("op2_quality")
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return scored.select(
+        "doc_id",
+        held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
+@catalog.query("op5_language_id")
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language.identify(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@catalog.query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return scored.select(
+        "doc_id",
+        held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "worst_start",
+        "worst_end",
+        "worst_score",
+    )
+
+
+@catalog.query(
+    "op10_substring_dedup",
+    rf"""
+    WITH l AS (
+        SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+               generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
+    p AS (
+        SELECT doc_id, line_no,
+               coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no
+                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_at,
+               length(line)::BIGINT AS size,
+               regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                  '{SQL_WORD}') AS words FROM l),
+    u AS (SELECT *, array_to_string(words, ' ') AS unit FROM p WHERE len(words) >= 8),
+    r AS (SELECT *, row_number() OVER g AS place, first_value(doc_id) OVER g AS kept_doc_id,
+                 first_value(line_no) OVER g AS kept_line
+          FROM u WINDOW g AS (PARTITION BY unit ORDER BY doc_id, line_no))
+    SELECT doc_id, line_no AS line, start_at AS start, start_at + size AS "end", len(words) AS n_words,
+           kept_doc_id, kept_line FROM r WHERE place > 1
+    """,
+)
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(read(spark, sf_dir, "documents")).drop("row")

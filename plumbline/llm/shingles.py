@@ -18,6 +18,9 @@ _BYTE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes of a run of letters: A-Z, a-z and whatever is not ASCII.
+LETTER = np.zeros(256, dtype=bool)
+LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
 _FOLDED = _BYTE.copy()
 _FOLDED[65:91] = _BYTE[97:123]
 #: A batch of texts is cut into pieces of about so many bytes, so that memory does not follow the batch.
@@ -70,14 +73,16 @@ def pieces(texts: pa.ChunkedArray | pa.Array) -> Iterator[tuple[int, int]]:
         yield start, len(lengths)
 
 
-def words(texts: pa.Array, fold: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(
+    texts: pa.Array, fold: bool = False, letters: bool = False
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all words, the number of words before each text, and where each word starts and ends.
 
-    ``fold`` takes A-Z as a-z. Entry i of the counts is the number of words before text i, with the
-    total at the end.
+    ``fold`` takes A-Z as a-z; ``letters`` takes runs of letters for words. Entry i of the counts is
+    the number of words before text i, with the total at the end.
     """
     data, offsets = utf8(texts)
-    space = _SPACE[data]
+    space = ~LETTER[data] if letters else _SPACE[data]
     inside = np.empty(len(data) + 1, dtype=bool)
     inside[:-1] = ~space
     inside[-1] = False
@@ -97,12 +102,14 @@ def words(texts: pa.Array, fold: bool = False) -> tuple[np.ndarray, np.ndarray,
     return hashes, np.searchsorted(starts, offsets), starts, ends
 
 
-def spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of byte ranges of one batch."""
-    power, inverse = _powers(len(data) + 1)
+def spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
+    """Hashes of ranges of one batch: of its bytes, or of 64-bit values such as word hashes."""
+    if values.dtype == np.uint8:
+        values = (_FOLDED if fold else _BYTE)[values]
+    power, inverse = _powers(len(values) + 1)
     with np.errstate(over="ignore"):
-        running = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[data] * power[: len(data)], out=running[1:])
+        running = np.zeros(len(values) + 1, dtype=np.uint64)
+        np.cumsum(values * power[: len(values)], out=running[1:])
         return mix((running[ends] - running[starts]) * inverse[starts])
 
 
