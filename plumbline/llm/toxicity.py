@@ -21,8 +21,9 @@ from plumbline.llm.frames import held_out, map_batches
 
 #: About so many labelled documents are learnt from, drawn by a hash of their ids.
 MAX_TRAIN = 20_000
-#: Terms that the model holds at most, and the toxic documents that one must be in at least.
-MAX_TERMS, LEAST = 4_000, 3
+#: Terms that the model holds at most, the toxic documents that one must be in at least, and the share
+#: of its documents that must be toxic.
+MAX_TERMS, LEAST, LEAST_SHARE = 4_000, 3, 0.5
 PREFIX_BYTES = 5
 _PREFIX = np.uint64(0xD6E8FEB86659FD93)
 _BREAK = np.zeros(256, dtype=bool)
@@ -90,7 +91,7 @@ def learn(pairs: pd.DataFrame, labels: np.ndarray, rounds: int = 300, decay: flo
     size, toxic = len(labels), labels.sum()
     expected = counts["count"] * toxic / max(size, 1)
     lean = (counts["sum"] - expected) ** 2 / np.maximum(expected, 0.5)
-    chosen = counts[(counts["sum"] >= LEAST) & (counts["sum"] > 2 * expected)].index
+    chosen = counts[(counts["sum"] >= LEAST) & (counts["sum"] >= LEAST_SHARE * counts["count"])].index
     chosen = lean.loc[chosen].sort_values(ascending=False, kind="stable").index[:MAX_TERMS]
     terms = np.sort(chosen.to_numpy(dtype=np.uint64))
     base = float(toxic) / max(size, 1)
@@ -156,7 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, text:
         map_batches(frame, emit, "term long, toxic long, n long")
         .groupBy("term")
         .agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
-        .where((F.col("toxic") >= LEAST) & (F.col("toxic") > 2 * rate * F.col("n")))
+        .where((F.col("toxic") >= LEAST) & (F.col("toxic") >= LEAST_SHARE * F.col("n")))
     )
     lean = (F.col("toxic") - rate * F.col("n")) ** 2 / F.greatest(rate * F.col("n"), F.lit(0.5))
     best = counted.orderBy(lean.desc(), "term").limit(MAX_TERMS).toPandas()["term"].to_numpy(np.int64)
@@ -184,13 +185,18 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, text:
     pairs = pd.DataFrame(
         {
             "bag": np.repeat(np.arange(len(bagged)), lengths),
-            "sentence": np.concatenate([*bagged["sentences"], np.zeros(0, np.int64)]).astype(np.int64),
-            "term": np.concatenate([*bagged["terms"], np.zeros(0, np.int64)]).astype(np.int64).view(np.uint64),
+            "sentence": _joined(bagged["sentences"]),
+            "term": _joined(bagged["terms"]).view(np.uint64),
         }
     )
     return learn(pairs, labels_found)
 
 
+def _joined(lists: pd.Series) -> np.ndarray:
+    """The values of all lists; an empty list must not turn 64-bit hashes into floats."""
+    return np.concatenate([np.zeros(0, np.int64), *(np.asarray(x, dtype=np.int64) for x in lists)])
+
+
 def _by_row(parts: list[np.ndarray], rows: np.ndarray) -> list[np.ndarray]:
     """Values in the order of their rows."""
     return [np.concatenate(parts)[np.argsort(rows, kind="stable")]] if parts else []
