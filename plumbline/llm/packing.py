@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ from plumbline.llm import shingles
 LIMIT = 2048
 END_ID = 1
 #: Chunks that a memo holds before it starts anew, and the longest chunk that it takes.
-MEMO_CHUNKS, MEMO_CHARS = 400_000, 64
+MEMO_CHUNKS, MEMO_CHARS = 600_000, 64
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 _MEMOS: dict[str, ChunkEncoder] = {}
 
@@ -47,25 +48,30 @@ class ChunkEncoder:
             return _CUT.split(text)
         return text.replace(" ", "\0 ").split("\0")
 
+    def learn(self, chunks: list[str]) -> None:
+        found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
+        pack = struct.Struct
+        self.known.update((c, pack(f"<{len(i)}I").pack(*i)) for c, i in zip(chunks, (e.ids for e in found), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.chunks(t) for t in texts]
-        wanted = set().union(*cut)
-        odd = {c for c in wanted if c[-1:].isspace() or c[1:2].isspace() and c[:1] == " "}
-        if odd:
-            cut = [c if odd.isdisjoint(c) else _CUT.split(t) for c, t in zip(cut, texts, strict=True)]
-            wanted = set().union(*cut)
         if len(self.known) > MEMO_CHUNKS:
             self.known = {}
-        new = [c for c in wanted if c not in self.known]
-        found = {
-            c: np.array(e.ids, dtype="<u4").tobytes()
-            for c, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True)
-        }
-        long = [c for c in new if len(c) > MEMO_CHARS]
-        self.known.update(found)
-        out = [b"".join(map(self.known.__getitem__, c)) for c in cut]
-        for c in long:
-            del self.known[c]
+        known = self.known
+        new = set().union(*cut).difference(known)
+        # Where white space meets the cut, the text is cut again with care; such chunks are not kept.
+        odd = {c for c in new if c[-1:].isspace() or c[1:2].isspace() and c[:1] == " "}
+        if odd:
+            cut = [c if odd.isdisjoint(c) else _CUT.split(t) for c, t in zip(cut, texts, strict=True)]
+            new = set().union(*cut).difference(known)
+        # A comma or full stop after a letter is a piece of its own, so the word before it is looked up.
+        ended = [c for c in new if c[-1:] in (",", ".") and "A" <= c[-2:-1] < "\u0250" and c[-2].isalpha()]
+        stems = {c[:-1] for c in ended}
+        self.learn(list({*new.difference(ended), *stems, ",", "."}.difference(known)))
+        known.update([(c, known[c[:-1]] + known[c[-1]]) for c in ended])
+        out = [b"".join(map(known.__getitem__, c)) for c in cut]
+        for c in (*(c for c in new if len(c) > MEMO_CHARS), *odd):
+            known.pop(c, None)
         return out
 
 
