@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.catalog import Catalog
-from plumbline.llm import jaccard, language, mixing, packing, passages, quality, rules, toxicity
+from plumbline.llm import jaccard, language, mixing, packing, passages, quality, rules, toxicity, vectors
 from plumbline.llm.frames import held_out, read
 
 catalog = Catalog()
@@ -168,3 +168,25 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(read(spark, sf_dir, "documents"), size=3, percent=90)
+
+
+@catalog.query(
+    "op6_embedding_near_dedup",
+    """
+    WITH RECURSIVE v AS (
+        SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+          AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+          AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+    e AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b
+          ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+          AND list_cosine_similarity(a.x, b.x) >= 0.98),
+    r AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+    c AS (SELECT x AS vec_id, min(y) AS component_id FROM r GROUP BY x),
+    d AS (SELECT x AS vec_id, count(*) AS n FROM e GROUP BY x)
+    SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+    FROM c LEFT JOIN d USING (vec_id)
+    """,
+)
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(read(spark, sf_dir, "embeddings"))
