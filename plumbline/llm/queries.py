@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.catalog import Catalog
-from plumbline.llm import jaccard, language, mixing, packing, passages, quality, rules, toxicity, vectors
+from plumbline.llm import jaccard, language, lines, mixing, packing, passages, quality, rules, toxicity, vectors
 from plumbline.llm.frames import held_out, read
 
 catalog = Catalog()
@@ -190,3 +190,8 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
+@catalog.query("op7_line_dedup")
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.fuzzy_lines(read(spark, sf_dir, "documents")).drop("row")
