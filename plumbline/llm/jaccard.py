@@ -218,7 +218,8 @@ def _links(tiled: DataFrame, percent: int, exact: bool) -> DataFrame:
 def jaccard_components(
     docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """Per row: doc_id, n_shingles and component_id, the smallest id that links reach.
+    """Per row: doc_id, n_shingles and component_id, the smallest id that links reach; then row, the place
+    in the scan, and component, a name of the component (null for an empty set).
 
     A set holds the distinct windows of ``size`` words, A-Z as a-z; a text with fewer words has its whole
     sequence as its one shingle. Texts link when 100 * intersection >= percent * union. A text that is
@@ -310,13 +311,37 @@ def jaccard_components(
         "class", "least_id", F.coalesce("root", "class").alias("root")
     )
     least = named.groupBy(F.col("root").alias("top")).agg(F.min("least_id").alias("component_id"))
-    placed_classes = named.join(least, F.col("root") == F.col("top")).select("class", "component_id")
+    placed_classes = named.join(least, F.col("root") == F.col("top")).select("class", "component_id", "root")
     return (
-        signed.select("doc_id", F.col("n").alias("n_shingles"), "node")
+        signed.select("row", "doc_id", F.col("n").alias("n_shingles"), "node")
         .join(placed_classes, F.col("node") == F.col("class"), "left")
         .select(
             "doc_id",
             "n_shingles",
             F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+            "row",
+            F.col("root").alias("component"),
         )
     )
+
+
+def without_near_copies(
+    docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """``docs`` with one row of each component, the one with the smallest id (null ids last), then the
+    first in the scan. Texts without a word stay.
+
+    ``docs`` is read more than once and has to give its rows in the same partitions each time, as a
+    table does.
+    """
+    found = stored(jaccard_components(docs, size, percent, doc_id, text), "copies")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "row")
+    firsts = (
+        found.where("component is not null").groupBy("component").agg(F.min(rank).alias("first")).select("first.row")
+    )
+    kept = firsts.unionByName(found.where("component is null").select("row")).withColumnRenamed("row", "__kept")
+    return (
+        docs.withColumn("__row", F.monotonically_increasing_id())
+        .join(kept, F.col("__row") == F.col("__kept"), "left_semi")
+        .select(*docs.columns)
+    )

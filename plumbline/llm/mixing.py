@@ -197,3 +197,18 @@ def mix_sources(
             (F.col("size") * copies).alias("taken"),
         )
     )
+
+
+def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **settings) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it.
+
+    ``docs`` is read twice and has to give its rows in the same partitions each time, as a table does.
+    """
+    copies = mix_sources(docs, doc_id=doc_id, text=text, source=source, **settings)
+    copies = copies.where("copies > 0").select(F.col("key").alias("__key"), F.col("copies").alias("__copies"))
+    return (
+        docs.withColumn("__row", F.monotonically_increasing_id())
+        .join(copies, F.col("__row") == F.col("__key"))
+        .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
+        .select(*docs.columns)
+    )

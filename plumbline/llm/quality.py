@@ -69,18 +69,19 @@ def _statistics(texts: pa.Array) -> np.ndarray:
     )
 
 
-def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``doc_id`` and ``x``, the transformed statistics of the whole text (null: of no words)."""
-    frame = docs.select("doc_id", F.col(text).alias("t"))
+def statistics(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` and ``x``, the transformed statistics of the whole text (null: of no words)."""
+    frame = docs.select(*keep, F.col(text).alias("t"))
+    kinds = dict(frame.dtypes)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column("t")
         x = np.concatenate([_statistics(texts.slice(a, b - a)) for a, b in shingles.pieces(texts)])
         values = pa.array(x.ravel(), pa.float64())
         rows = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), values)
-        return pa.record_batch([batch.column("doc_id"), rows], names=["doc_id", "x"])
+        return pa.record_batch([*(batch.column(k) for k in keep), rows], names=[*keep, "x"])
 
-    return map_batches(frame, run, f"doc_id {dict(frame.dtypes)['doc_id']}, x array<double>")
+    return map_batches(frame, run, ", ".join(f"{k} {kinds[k]}" for k in keep) + ", x array<double>")
 
 
 @dataclass(frozen=True)
@@ -126,6 +127,30 @@ def fit(rows: DataFrame, shrink: float = 0.1, sphere: float = 0.05, one_class_we
     return Discriminant(means, factors, prior - spread)
 
 
+def learn(docs: DataFrame, labels: DataFrame, text: str = "text", **settings: float) -> Discriminant | None:
+    """The model of the labelled rows of ``docs`` that are not held out; None without both labels."""
+    known = labelled(docs.select("doc_id", F.col(text).alias("text")), labels, "quality")
+    measured = statistics(known.select("doc_id", "text", "label"), keep=("label",))
+    return fit(measured, **settings)
+
+
+def scored(docs: DataFrame, model: Discriminant | None, text: str = "text", column: str = "score") -> DataFrame:
+    """``docs`` with ``column``, the chance of label 1; 0.5 everywhere without a model."""
+    if model is None:
+        return docs.withColumn(column, F.lit(0.5))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at = docs.columns.index(text)
+    frame = docs.toDF(*names)
+    schema = ", ".join(f"{n} {k}" for n, k in frame.dtypes) + ", score double"
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column(at)
+        x = np.concatenate([_statistics(texts.slice(a, b - a)) for a, b in shingles.pieces(texts)])
+        return batch.append_column("score", pa.array(model.score(x)))
+
+    return map_batches(frame, run, schema).toDF(*docs.columns, column)
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, text: str = "text", **settings: float) -> DataFrame:
     """Per row of ``docs``: doc_id and score, the chance that ``labels.quality`` is 1.
 

@@ -167,7 +167,8 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_components(read(spark, sf_dir, "documents"), size=3, percent=90)
+    found = jaccard.jaccard_components(read(spark, sf_dir, "documents"), size=3, percent=90)
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 @catalog.query(
