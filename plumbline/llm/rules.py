@@ -187,6 +187,7 @@ def ablations(entries: DataFrame, policy: Policy, rules: tuple[Rule, ...] = RULE
         .select("documents", "kept_by_policy", F.explode(F.array(*entry)).alias("e"))
         .select(
             F.lit(policy.version).alias("version"),
+            "documents",
             "e.rule",
             F.coalesce("e.failed", F.lit(0)).alias("failed"),
             F.coalesce("e.failed_alone", F.lit(0)).alias("failed_alone"),
