@@ -26,8 +26,8 @@ from plumbline.llm.frames import stored
 
 #: Counters of shingles, and how many rows of them move together.
 RARITY_BITS, RARITY_ROWS = 18, 16
-#: Bits of a bitmap, and of the longer one that sets of at least WIDE_FROM shingles have.
-NARROW, WIDE, WIDE_FROM = 1024, 4096, 2048
+#: Bits of a bitmap, and up to how many shingles a set has so many.
+WIDTHS = ((256, 800), (1024, 3500), (4096, 2**62))
 #: Classes in a block of a large tile of shared shingles, and of a large group.
 TILE, GROUP_TILE = 4096, 1024
 #: Bits of the filter that keeps sets outside all groups from moving.
@@ -86,19 +86,19 @@ def _digest(keys: np.ndarray) -> int:
 
 def _bitmap(keys: np.ndarray) -> bytes:
     """Parities of hashed shingles: the ones of two bitmaps' difference never exceed the sets' difference."""
-    odd = np.bincount((shingles.mix(keys) & np.uint64(WIDE - 1)).astype(np.int64), minlength=WIDE) & 1
-    if len(keys) < WIDE_FROM:
-        odd = odd.reshape(-1, NARROW).sum(axis=0) & 1
-    return np.packbits(odd.astype(np.uint8)).tobytes()
+    width = next(bits for bits, most in WIDTHS if len(keys) <= most)
+    odd = np.bincount((shingles.mix(keys) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def _narrow(bitmaps: list[bytes]) -> np.ndarray:
-    """Rows of NARROW / 64 words; longer bitmaps are folded."""
-    out = np.empty((len(bitmaps), NARROW // 64), dtype=np.uint64)
-    for row, bits in enumerate(bitmaps):
-        words = np.frombuffer(bits, dtype=np.uint64)
-        out[row] = words if len(words) == NARROW // 64 else np.bitwise_xor.reduce(words.reshape(-1, NARROW // 64), axis=0)
-    return out
+def _folded(bitmaps: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bitmaps of at least ``bits`` bits folded to so many, and the row of each in that array or -1."""
+    place, rows = np.full(len(bitmaps), -1), []
+    for i, held in enumerate(bitmaps):
+        if len(held) * 8 >= bits:
+            place[i] = len(rows)
+            rows.append(np.bitwise_xor.reduce(np.frombuffer(held, dtype=np.uint64).reshape(-1, bits // 64), axis=0))
+    return np.array(rows, dtype=np.uint64).reshape(len(rows), bits // 64), place
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -111,8 +111,7 @@ def _near(
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places of pairs in one tile whose sizes and bitmaps allow the similarity. Rows are sorted by
     (tile, size), so a row's partners follow it until their size is too large."""
-    narrow = _narrow(bitmaps)
-    wide = np.array([len(b) > NARROW // 8 for b in bitmaps])
+    folded = [_folded(bitmaps, bits) for bits, _ in WIDTHS]
     active = np.arange(len(tiles) - 1)
     step = 1
     while len(active):
@@ -120,18 +119,18 @@ def _near(
         other = active + step
         keep = (tiles[active] == tiles[other]) & (100 * sizes[active] >= percent * sizes[other])
         active, other = active[keep], other[keep]
-        total = sizes[active] + sizes[other]
-        # An overlap of o needs o (100 + percent) >= percent * total, and 2 o <= total - difference.
-        room = (total * 100 - total * percent) // (100 + percent)
-        apart = np.bitwise_count(narrow[active] ^ narrow[other]).sum(axis=1, dtype=np.int64)
-        near = apart <= room
-        a, b = active[near], other[near]
-        both = wide[a] & wide[b]
-        for i in np.flatnonzero(both):
-            x, y = (np.frombuffer(bitmaps[j], dtype=np.uint64) for j in (a[i], b[i]))
-            both[i] = np.bitwise_count(x ^ y).sum() > room[near][i]
+        a, b = active, other
+        for rows, place in folded:
+            # An overlap of o needs o (100 + percent) >= percent * total, and 2 o <= total - difference.
+            total = sizes[a] + sizes[b]
+            room = total * (100 - percent) // (100 + percent)
+            both = np.flatnonzero((place[a] >= 0) & (place[b] >= 0))
+            apart = np.bitwise_count(rows[place[a[both]]] ^ rows[place[b[both]]]).sum(axis=1, dtype=np.int64)
+            near = np.ones(len(a), dtype=bool)
+            near[both] = apart <= room[both]
+            a, b = a[near], b[near]
         if len(a):
-            yield a[~both], b[~both]
+            yield a, b
         step += 1
 
 
@@ -259,16 +258,17 @@ def jaccard_components(
     )
     single = signed.join(classes.select("first"), F.col("row") == F.col("first"), "left_semi")
     postings = single.select("node", "n", F.explode("prefix").alias("token"))
+    counts = postings.groupBy(F.col("token").alias("shared")).agg(F.count(F.lit(1)).alias("count")).where("count > 1")
+    met = stored(postings.join(counts, F.col("token") == F.col("shared")).select("token", "node", "n", "count"), "met")
     # Shingles that the same classes share make the same tile: one of them is enough.
-    shared = (
-        postings.groupBy("token")
-        .agg(F.count(F.lit(1)).alias("count"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"))
-        .where("count > 1")
+    chosen = (
+        met.groupBy("token", "count")
+        .agg(F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"))
         .groupBy("count", "x", "y")
         .agg(F.min("token").alias("chosen"))
-        .select("chosen", "count")
+        .select("chosen")
     )
-    met = postings.join(shared, F.col("token") == F.col("chosen")).select("token", "node", "n", "count")
+    met = met.join(chosen, F.col("token") == F.col("chosen")).select("token", "node", "n", "count")
     placed = _tiled(met, "token", "count", TILE, percent).select("tile", "node", "n")
     bitmaps = single.select(F.col("node").alias("class"), "bitmap")
     tiled = placed.join(bitmaps, F.col("node") == F.col("class")).select("tile", "node", "n", "bitmap")
