@@ -88,10 +88,10 @@ _DROP = _ranked_sql(
 @catalog.query(
     "importance_gain",
     f"""SELECT feature, {r('gain', 2)} AS gain, {r('gain_percent')} AS gain_percent, rank_gain::INTEGER AS rank_gain,
-    {r('sum(gain_percent) OVER (ORDER BY rank_gain)')} AS cumulative_gain_percent FROM ({_GAIN}) QUALIFY rank_gain <= 30""",
+    {r('sum(gain_percent) OVER (ORDER BY rank_gain)')} AS cumulative_gain_percent FROM ({_GAIN})""",
 )
 def importance_gain(spark, sf_dir):
-    table = importance.importance_gain(_gains(spark, sf_dir), top=30)
+    table = importance.importance_gain(_gains(spark, sf_dir))
     return rounded(table.withColumn("gain", F.round("gain", 2)))
 
 
@@ -173,7 +173,9 @@ def session_changes(spark, sf_dir):
     f"""WITH {_RECORDS} SELECT run, count(*) AS rounds, {r('avg(iteration_seconds)')} AS mean_seconds, {r('sum(iteration_seconds)')} AS total_seconds,
     {r("sum(CASE WHEN event_type = 'error' THEN iteration_seconds / 10 ELSE 0 END)")} AS total_checkpoint_seconds,
     count(*) FILTER (event_type = 'error' AND iteration_seconds > 0) AS checkpoints,
-    ceil(greatest(100 - count(*), 0) * avg(iteration_seconds) / 600)::BIGINT AS remaining_sessions FROM records GROUP BY run""",
+    greatest(1, ceil(greatest(100 - count(*), 0) * (avg(iteration_seconds)
+      + sum(CASE WHEN event_type = 'error' THEN iteration_seconds / 10 ELSE 0 END) / count(*)) / 600))::BIGINT AS remaining_sessions
+    FROM records GROUP BY run""",
 )
 def round_timing(spark, sf_dir):
     pause = F.when(F.col("event_type") == "error", F.col("iteration_seconds") / 10).otherwise(0.0)
@@ -250,7 +252,7 @@ def heartbeat_status(spark, sf_dir):
     "durable_progress",
     f"""WITH {_RECORDS}, l AS (SELECT *, lag(event_type) OVER w AS prev_event_type, lag(counter) OVER w AS prev_counter FROM records
       WINDOW w AS (PARTITION BY run ORDER BY observed_at, event_id))
-    SELECT run, event_id, counter, prev_counter, counter > coalesce(prev_counter, 0)
+    SELECT run, event_id, counter, prev_counter, coalesce(counter, 0) > coalesce(prev_counter, 0)
       OR (event_type <> coalesce(prev_event_type, 'missing') AND event_type IN ('purchase', 'signup')) AS progress FROM l""",
 )
 def durable_progress(spark, sf_dir):

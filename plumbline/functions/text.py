@@ -41,6 +41,9 @@ def canonical_text(column: Column | str, dtype: T.DataType) -> Column:
             .when(wide == whole, whole.cast("string"))
             .otherwise(wide.cast("string"))
         )
+    if isinstance(dtype, T.DecimalType):
+        text = value.cast("string")
+        return F.when(F.instr(text, ".") > 0, F.regexp_replace(text, r"\.?0*$", "")).otherwise(text)
     return strip(value.cast("string"))
 
 

@@ -101,11 +101,17 @@ def round_timing(
     seconds: Column | str = "iteration_seconds",
     checkpoint_seconds: Column | str = "checkpoint_seconds",
 ) -> DataFrame:
-    """Mean and total seconds per run, and how many sessions the remaining rounds need."""
+    """Mean and total seconds per run, and how many sessions the remaining rounds need.
+
+    A session loses the time of its checkpoints: one mean pause for each block of rounds between
+    checkpoints. At least one session is expected.
+    """
     seconds = F.col(seconds) if isinstance(seconds, str) else seconds
     pause = F.col(checkpoint_seconds) if isinstance(checkpoint_seconds, str) else checkpoint_seconds
     remaining = F.greatest(F.lit(target_rounds) - F.col("rounds"), F.lit(0))
-    sessions = F.ceil(remaining * F.col("mean_seconds") / F.lit(float(session_seconds)))
+    pauses = F.coalesce(F.col("total_checkpoint_seconds"), F.lit(0.0)) / F.greatest(F.col("rounds"), F.lit(1))
+    needed = remaining * (F.col("mean_seconds") + pauses)
+    sessions = F.greatest(F.lit(1), F.ceil(needed / F.lit(float(session_seconds))))
     return (
         history.groupBy(*keys)
         .agg(
@@ -225,10 +231,10 @@ def durable_progress(
 ) -> DataFrame:
     """Did a counter rise, or the status reach a terminal state, since the observation before?
 
-    Before the first observation every counter is 0 and the status is missing.
+    Before the first observation every counter is 0 and the status is missing; so is a NULL counter 0.
     """
     linked = with_previous(observations, keys, bucket, order, [status, *counters])
-    rose = [F.col(c) > F.coalesce(F.col(f"prev_{c}"), F.lit(0)) for c in counters]
+    rose = [F.coalesce(F.col(c), F.lit(0)) > F.coalesce(F.col(f"prev_{c}"), F.lit(0)) for c in counters]
     state = F.lower(F.coalesce(F.col(status), F.lit("missing")))
     before = F.lower(F.coalesce(F.col(f"prev_{status}"), F.lit("missing")))
     progress = (state != before) & state.isin(list(terminal))

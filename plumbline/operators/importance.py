@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
@@ -13,7 +14,7 @@ from plumbline.functions.checks import guard
 from plumbline.functions.hashing import seeded_hash
 from plumbline.functions.lookup import bounded_rows
 from plumbline.operators.metrics import per_class_metrics
-from plumbline.operators.ordered import positions
+from plumbline.operators.ordered import ROWS_PER_BUCKET, positions
 
 MAX_FEATURES = 100_000
 TOP_RANK = 10
@@ -79,13 +80,14 @@ def permuted_copies(
     """Every (feature, repeat) copy of the rows with that one feature shuffled.
 
     Both orders of a copy are hash orders: a row's own place comes from one hash, the place
-    of the value it receives from another. Hash prefixes make even buckets, so no copy is
-    sorted in one task, however many rows there are. The copy with feature NULL and repeat 0
-    is the table as it is.
+    of the value it receives from another. Hash prefixes make even buckets, their length grows
+    with the table, so no copy is sorted in one task. The copy with feature NULL and repeat 0 is
+    the table as it is.
     """
+    digits = max(2, math.ceil(math.log(max(1, rows.count()) / ROWS_PER_BUCKET, 16)) + 1)
     number = positions(
         rows.withColumn("_h", seeded_hash(f"{seed}|place", F.col(row_id))).withColumn(
-            "_bucket", F.substring("_h", 1, 2)
+            "_bucket", F.substring("_h", 1, digits)
         ),
         [],
         "_bucket",
@@ -104,7 +106,7 @@ def permuted_copies(
         F.concat_ws("|", F.lit(str(seed)), "feature", F.col("repeat").cast("string"), F.col("_donor").cast("string"))
     )
     donors = positions(
-        donors.withColumn("_h", digest).withColumn("_bucket", F.substring("_h", 1, 2)),
+        donors.withColumn("_h", digest).withColumn("_bucket", F.substring("_h", 1, digits)),
         ["feature", "repeat"],
         "_bucket",
         [F.asc("_h")],

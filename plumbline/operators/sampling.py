@@ -13,6 +13,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,6 +78,11 @@ def sampling_plan(
     )
 
 
+def _in_order(classes) -> list:
+    """Classes by value, NULL before all others."""
+    return sorted(classes, key=lambda c: (c is not None, c))
+
+
 def _shift(quotas: dict, rows: int, step: int, urgency, allowed) -> None:
     """Move ``rows`` single rows in or out of the quotas, the most urgent class first."""
     queue = [(-urgency(c, q), i, c) for i, (c, q) in enumerate(quotas.items()) if allowed(c, q)]
@@ -101,7 +107,7 @@ def stratified_quotas(counts: dict, budget: int) -> dict:
         return dict(counts)
     if len(counts) > budget:
         raise ValueError(f"A budget of {budget} rows cannot cover {len(counts)} classes")
-    share = {c: counts[c] * (budget / float(total)) for c in sorted(counts)}
+    share = {c: counts[c] * (budget / float(total)) for c in _in_order(counts)}
     quotas = {c: min(counts[c], max(1, math.floor(s))) for c, s in share.items()}
     missing = budget - sum(quotas.values())
     rounds = {c: 0 for c in quotas}
@@ -124,7 +130,7 @@ def report_quotas(counts: dict, budget: int) -> dict:
         return dict(counts)
     if len(counts) > budget:
         raise ValueError(f"A budget of {budget} rows cannot cover {len(counts)} classes")
-    share = {c: counts[c] / total * budget for c in sorted(counts)}
+    share = {c: counts[c] / total * budget for c in _in_order(counts)}
     quotas = {c: max(1, math.floor(s)) for c, s in share.items()}
     missing = budget - sum(quotas.values())
     _shift(quotas, missing, 1, lambda c, q: share[c] - q, lambda c, q: q < counts[c])
@@ -147,10 +153,17 @@ def draw(
     narrow = hashed.select(*strata, "_hash")
     cuts = _cut_offs(narrow, list(strata), quotas)
     return (
-        hashed.join(bounded_lookup(cuts), list(strata), "inner")
-        .where(F.col("_hash") <= F.col("_cut"))
-        .drop("_hash", "_cut")
+        _join_strata(hashed, cuts, list(strata)).where(F.col("_hash") <= F.col("_cut")).drop("_hash", "_cut")
+    )
+
+
+def _join_strata(frame: DataFrame, table: DataFrame, strata: list[str], how: str = "inner") -> DataFrame:
+    """Join a table of one row per stratum; a NULL stratum is a stratum like any other."""
+    renamed = table.select(
+        *[F.col(s).alias(f"_of_{s}") for s in strata], *[c for c in table.columns if c not in strata]
     )
+    same = reduce(Column.__and__, [F.col(s).eqNullSafe(F.col(f"_of_{s}")) for s in strata])
+    return frame.join(bounded_lookup(renamed), same, how).drop(*[f"_of_{s}" for s in strata])
 
 
 def _hex(fraction: Column, round_up: bool) -> Column:
@@ -166,28 +179,34 @@ def _cut_offs(narrow: DataFrame, strata: list[str], quotas: DataFrame) -> DataFr
     whole = wanted.where(F.col("quota") >= F.col("rows")).select(*strata, F.lit("g").alias("_cut"))
     part = wanted.where(F.col("quota") < F.col("rows"))
     found, sigmas = whole, START_SIGMAS
+    repeated = F.raise_error(F.lit("A sample needs identities that do not repeat inside a stratum")).cast("string")
     while not part.isEmpty():
         share = F.col("quota") / F.col("rows")
         half = F.lit(sigmas) * F.sqrt(share * (1 - share) / F.col("rows"))
         bands = part.withColumn(
             "_low", _hex(F.greatest(share - half, F.lit(0.0)), round_up=False)
         ).withColumn("_high", _hex(F.least(share + half, F.lit(1.0)), round_up=True))
-        placed = narrow.join(bands, strata, "inner")
+        placed = _join_strata(narrow, bands, strata)
         below = placed.groupBy(*strata).agg(
             F.count_if(F.col("_hash") < F.col("_low")).alias("_below")
         )
         ranked = placed.where((F.col("_hash") >= F.col("_low")) & (F.col("_hash") < F.col("_high")))
-        position = F.row_number().over(Window.partitionBy(*strata).orderBy("_hash"))
+        in_order = Window.partitionBy(*strata).orderBy("_hash")
         cuts = (
-            ranked.select(*strata, "quota", "_hash")
-            .withColumn("_position", position)
-            .join(bounded_lookup(below), strata)
+            _join_strata(
+                ranked.select(*strata, "quota", "_hash")
+                .withColumn("_position", F.row_number().over(in_order))
+                .withColumn("_upto", F.count("*").over(in_order)),
+                below,
+                strata,
+            )
             .where(F.col("_position") + F.col("_below") == F.col("quota"))
-            .select(*strata, F.col("_hash").alias("_cut"))
+            .withColumn("_cut", F.when(F.col("_upto") == F.col("_position"), F.col("_hash")).otherwise(repeated))
+            .select(*strata, "_cut")
         )
         cuts = bounded_lookup(cuts)
         found = found.unionByName(cuts)
-        part = bounded_lookup(part.join(cuts, strata, "left_anti"))
+        part = bounded_lookup(_join_strata(part, cuts.select(*strata), strata, "left_anti"))
         if sigmas > EVERYTHING:
             raise ValueError("The quota table does not describe the rows it is applied to")
         sigmas = sigmas * 16
@@ -209,7 +228,7 @@ def _class_counts(frame: DataFrame, label: str, limit: int) -> dict:
 
 def _quota_table(frame: DataFrame, label: str, counts: dict, quotas: dict) -> DataFrame:
     kind = frame.schema[label].dataType.simpleString()
-    rows = [(c, counts[c], quotas[c]) for c in sorted(counts)]
+    rows = [(c, counts[c], quotas[c]) for c in _in_order(counts)]
     return frame.sparkSession.createDataFrame(rows, f"`{label}` {kind}, rows bigint, quota bigint")
 
 

@@ -212,21 +212,27 @@ class CentroidModel:
     def score_vectors(
         self, frame: DataFrame, vector: str, scale: Column | float = 1.0, digits: int = 6
     ) -> DataFrame:
-        """The same for an array column, as one matrix product per Arrow batch."""
+        """The same for an array column, as one matrix product per Arrow batch.
+
+        A vector that is NULL, or shorter than the centroids, gets no scores.
+        """
         means = np.array([self.centroids[c] for c in sorted(self.centroids)])
         lengths = (means * means).sum(axis=1)
 
         @F.arrow_udf("array<float>")
         def softmax(vectors: pa.Array, scales: pa.Array) -> pa.Array:
-            n = len(vectors)
-            rows = vectors.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
-            rows = rows[:, : means.shape[1]].astype(np.float64)
+            n, width = len(vectors), means.shape[1]
+            starts = vectors.offsets.to_numpy()
+            whole = (np.diff(starts) >= width) & vectors.is_valid().to_numpy(zero_copy_only=False)
+            cells = vectors.values.to_numpy(zero_copy_only=False).astype(np.float64)
+            rows = np.zeros((n, width))
+            rows[whole] = cells[starts[:-1][whole][:, None] + np.arange(width)]
             # The squared length of a row is the same for every class and cancels.
             margins = (2 * rows @ means.T - lengths) * scales.to_numpy(zero_copy_only=False)[:, None]
             powers = np.exp(margins - margins.max(axis=1, keepdims=True))
             shares = np.round(powers / powers.sum(axis=1, keepdims=True), digits).astype(np.float32)
             offsets = pa.array(np.arange(n + 1, dtype=np.int32) * means.shape[0])
-            return pa.ListArray.from_arrays(offsets, pa.array(shares.ravel()))
+            return pa.ListArray.from_arrays(offsets, pa.array(shares.ravel()), mask=pa.array(~whole))
 
         factor = scale if isinstance(scale, Column) else F.lit(float(scale))
         return frame.withColumn("y_prob", softmax(F.col(vector), factor.cast("double")))

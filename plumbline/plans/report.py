@@ -4,16 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.lookup import bounded_lookup
 from plumbline.operators import curves, metrics
-from plumbline.operators.sampling import report_sample
 from plumbline.sources.sink import export_table
 
-PLOT_ROWS = 2_000_000
-
 
 def summary_metrics(scored: DataFrame, n_classes: int) -> DataFrame:
     """One wide row, the two headline figures first.
@@ -78,14 +75,11 @@ def report_tables(
     scored: DataFrame,
     n_classes: int,
     names: DataFrame | None = None,
-    identity: Column | None = None,
-    plot_rows: int = PLOT_ROWS,
-    seed: int = 2026,
 ) -> dict[str, DataFrame]:
     """Every table of the final report. ``names`` is (class, name).
 
-    A table of withheld classes gets the open-set tables; a mixed one is refused. Curves use a
-    stratified sample of at most ``plot_rows`` rows when the row identity is given.
+    A table of withheld classes gets the open-set tables; a mixed one is refused. Curves are of all rows:
+    thin them afterwards with :func:`plumbline.operators.curves.thin_curve`.
     """
     metrics.mixed_open_set(scored, fail=True)
     if scored.where(F.col("y_true") < 0).limit(1).count():
@@ -97,9 +91,6 @@ def report_tables(
     per_class = metrics.per_class_metrics(scored, n_classes)
     confusion = metrics.confusion_matrix(scored, n_classes)
     areas = curves.class_areas(scored).select("class", "roc_auc", "average_precision")
-    plotted = scored
-    if identity is not None:
-        plotted = report_sample(scored, "y_true", plot_rows, identity, seed)
     return {
         "per_class_metrics": named(per_class.join(areas, "class", "left"), names, "class").orderBy(
             F.desc("support"), "class"
@@ -108,9 +99,9 @@ def report_tables(
         "confusion_normalized": metrics.confusion_normalized(confusion),
         "classification_report": metrics.classification_report(per_class),
         "summary_metrics": summary_metrics(scored, n_classes),
-        "roc_curve": curves.roc_curve(plotted),
-        "roc_macro_curve": curves.roc_macro_curve(plotted),
-        "pr_curve": curves.pr_curve(plotted),
+        "roc_curve": curves.roc_curve(scored),
+        "roc_macro_curve": curves.roc_macro_curve(scored),
+        "pr_curve": curves.pr_curve(scored),
     }
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 CHECKPOINT_DIR_KEY = "spark.checkpoint.dir"
+_LOCAL: dict[str, str] = {}
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -27,16 +29,18 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in
-    tests, a temporary folder is made and remembered for the life of the session.
+    The cluster names it in ``spark.checkpoint.dir``. Only in local mode may that be unset, as in
+    tests: a temporary folder is made then and remembered for the life of the session.
     """
     named = spark.conf.get(CHECKPOINT_DIR_KEY, None) or spark.sparkContext.getConf().get(
         CHECKPOINT_DIR_KEY, None
     )
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="plumbline-")
-        spark.conf.set(CHECKPOINT_DIR_KEY, named)
-    return named.rstrip("/")
+    if named:
+        return named.rstrip("/")
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError(f"Set {CHECKPOINT_DIR_KEY} to a folder that all executors reach")
+    return _LOCAL.setdefault(context.applicationId, "file://" + tempfile.mkdtemp(prefix="plumbline-"))
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -5,12 +5,11 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator, Sequence
 
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.checks import guard
-from plumbline.sources.scan import list_files
+from plumbline.sources.scan import list_files, open_location
 
 CHUNK_BYTES = 1 << 20
 
@@ -26,8 +25,7 @@ def integrity_manifest(spark: SparkSession, directory: str, pattern: str = "**/*
         for batch in batches:
             found = []
             for path in batch["path"]:
-                uri = path if "://" in path else path.replace("file:/", "file:///", 1)
-                system, location = pafs.FileSystem.from_uri(uri)
+                system, location = open_location(path)
                 digest = hashlib.sha256()
                 with system.open_input_stream(location) as stream:
                     while chunk := stream.read(CHUNK_BYTES):

@@ -61,7 +61,7 @@ def part_inventory(written: DataFrame, root: str) -> DataFrame:
     return (
         written.groupBy(
             "split",
-            relative_path(F.col("_metadata.file_path"), root).alias("path"),
+            relative_path(F.col("_metadata.file_path"), root, encoded=True).alias("path"),
             F.col("_metadata.file_size").alias("bytes"),
         )
         .agg(F.count("*").alias("rows"))

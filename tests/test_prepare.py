@@ -2,14 +2,13 @@ import os
 
 import pandas as pd
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from plumbline.operators.splits import SPLITS
 from plumbline.plans.prepare import Preparation, PrepareSettings, prepare_dataset
 from plumbline.sources import integrity, scan, sink
-from tests.fixtures import config, write_class_files, write_two_days
-
-SHARED = ["BENIGN", "LDAP", "Syn"]
+from tests.fixtures import PLAIN, RENAMED, SEASONS, config, sheet, write_sheets
 
 
 def sizes(result):
@@ -24,134 +23,109 @@ def mapping(result):
     return {r["label"]: r["code"] for r in result["label_mapping"].collect()}
 
 
+def balanced(total):
+    return total["rows_read"] == total["rows_written"] + total["excluded_by_label"] + total["excluded_by_split"]
+
+
 def test_proportional_preparation(spark, folder):
-    os.makedirs(f"{folder}/in")
-    source, out = write_class_files(f"{folder}/in"), f"{folder}/out"
-    run = Preparation(spark, config(source, dataset={"target_total_rows": 900}))
-    assert run.target == "Label" and run.group_columns == ["Flow ID"]
-    assert run.features == ["Feature A", "Feature B"]
+    source, out = write_sheets(f"{folder}/in", PLAIN), f"{folder}/out"
+    run = Preparation(spark, config(source, dataset={"target_total_rows": 600}))
+    assert (run.target, run.group_columns, run.features) == ("Grade", ["Tag"], ["Sugar", "Weight"])
     planned = {r["relative_path"]: r["planned_rows"] for r in run.plan.collect()}
-    assert planned == {"BENIGN.parquet": 450, "DrDoS_DNS.parquet": 300, "Syn.parquet": 150}
+    assert planned == {"Sound.parquet": 320, "bruise-old.parquet": 200, "Wormy.parquet": 80}
     result = run.write(out)
-    assert sum(sizes(result).values()) == 900
-    assert mapping(result) == {"BENIGN": 0, "DNS": 1, "Syn": 2}
+    assert sum(sizes(result).values()) == 600
+    assert mapping(result) == {"Bruised": 0, "Sound": 1, "Wormy": 2}
     reasons = {r["column"]: r["reason"] for r in result["dropped_columns"].collect()}
-    assert reasons["Unnamed: 0"].startswith("explicitly") and reasons["Label"] == "target column"
-    assert reasons["Flow ID"].startswith("group") and reasons["Timestamp"].startswith("name pattern")
-    bad = result["splits"].where(F.abs("Feature B") == float("inf")).count()
-    assert bad == 0 and result["splits"].where(F.isnan("Feature A")).count() > 0
-    assert max(r["rows"] for r in result["parts"].collect()) <= 256
-    assert spark.read.json(f"{out}/row_account").first()["rows_written"] == 900
+    assert reasons.keys() == {"row no", "Tag", "Picked at", "Orchard", "Season", "Grade"}
+    assert reasons["row no"] == reasons["Season"] == "excluded by name" and reasons["Grade"] == "target column"
+    assert reasons["Tag"].startswith("group") and reasons["Orchard"] == "name pattern: ^orchard$"
+    odd = result["splits"].agg(
+        F.count_if(F.abs("Weight") == float("inf")).alias("infinite"), F.count_if(F.isnan("Sugar")).alias("missing")
+    ).first()
+    assert odd["infinite"] == 0 and odd["missing"] > 0
+    assert max(r["rows"] for r in result["parts"].collect()) <= 150
+    assert spark.read.json(f"{out}/row_account").first()["rows_written"] == 600
 
 
 def test_repeat_run_gives_the_same_rows(spark, folder):
-    source = write_class_files(folder)
-    rows = lambda: Preparation(spark, config(source, dataset={"target_total_rows": 500})).prepared()
+    source = write_sheets(folder, PLAIN)
     keys = [scan.FILE_ID, scan.ROW_ID, "_label", "split"]
-    assert rows().select(*keys).exceptAll(rows().select(*keys)).isEmpty()
+    one, two = (
+        Preparation(spark, config(source, dataset={"target_total_rows": 350})).prepared().select(*keys)
+        for _ in range(2)
+    )
+    assert one.exceptAll(two).isEmpty() and one.count() == 350
 
 
 def test_prefix_preparation(spark, folder):
-    source = write_class_files(folder)
-    run = Preparation(spark, config(source, dataset={"samples_per_file": 200}))
-    read = {r["_relative_path"]: r["rows_read"] for r in run.inventory().collect()}
-    assert set(read.values()) == {200}
-    assert run.narrow.agg(F.max(scan.ROW_ID)).first()[0] == 199
+    run = Preparation(spark, config(write_sheets(folder, PLAIN), dataset={"samples_per_file": 120}))
+    assert {r["rows_read"] for r in run.inventory().collect()} == {120}
+    assert run.narrow.where(F.col(scan.ROW_ID) >= 120).isEmpty()
 
 
 def test_row_group_layout_does_not_matter(spark, folder):
-    one, two = f"{folder}/a", f"{folder}/b"
-    os.makedirs(one), os.makedirs(two)
-    write_class_files(one)
-    for name in os.listdir(one):
-        pd.read_parquet(f"{one}/{name}").to_parquet(f"{two}/{name}", row_group_size=1_000, index=False)
     keys = [scan.FILE_ID, scan.ROW_ID, "label", "split"]
-    first, second = (Preparation(spark, config(p)).narrow.select(*keys) for p in (one, two))
-    assert first.exceptAll(second).isEmpty()
+    fine, coarse = (
+        Preparation(spark, config(write_sheets(f"{folder}/{size}", PLAIN, size))).narrow.select(*keys)
+        for size in (50, 5_000)
+    )
+    assert fine.exceptAll(coarse).isEmpty()
 
 
-def test_experiment_a(spark, folder):
-    """Random groups over both days; merged names add up."""
-    source = write_two_days(f"{folder}/in")
-    result = prepare_dataset(spark, config(source), f"{folder}/out")
-    counted = {(r["label"]): r["rows"] for r in result["class_counts"].groupBy("label").agg(F.sum("rows").alias("rows")).collect()}
-    assert counted["LDAP"] == 580 and "DrDoS_LDAP" not in counted
-    total = account(result)
-    assert total["rows_read"] == total["rows_written"] == 1_790 + 420
-    audit = {r["kind"]: r["cross_split"] for r in result["leakage_audit"].collect()}
-    assert audit == {"sample": 0, "group": 0}
-
-
-def by_day(**labels):
-    return {
-        "split": {
-            "strategy": "by_capture_day",
-            "capture_day_assignment": {"01-12": "train_validation", "03-11": "test"},
-            "validation_fraction_of_train_day": 0.15,
-        },
-        "labels": labels,
-    }
+def test_groups_over_all_seasons(spark, folder):
+    """Renamed grades add up, every row is written, no tag is in two splits."""
+    result = prepare_dataset(spark, config(write_sheets(f"{folder}/in", SEASONS)), f"{folder}/out")
+    counted = result["class_counts"].groupBy("label").agg(F.sum("rows").alias("rows"))
+    counted = {r["label"]: r["rows"] for r in counted.collect()}
+    assert counted == {"Sound": 420, "Bruised": 470, "Scab": 240, "Wormy": 350, "Hail": 130}
+    assert account(result)["rows_read"] == account(result)["rows_written"] == 1_610
+    assert {r["kind"]: r["cross_split"] for r in result["leakage_audit"].collect()} == {"sample": 0, "group": 0}
+
+
+def seasonal(days, **labels):
+    split = {"strategy": "by_capture_day", "capture_day_column": "Season", "validation_fraction_of_train_day": 0.25}
+    return {"split": {**split, "capture_day_assignment": days}, "labels": {"merge_map": RENAMED, **labels}}
 
 
-def test_experiment_b(spark, folder):
-    """Train and validate on one day, test on the other, shared classes only."""
-    source = write_two_days(f"{folder}/in")
-    result = prepare_dataset(spark, config(source, **by_day(keep_only=SHARED)), f"{folder}/out")
+def test_one_season_tests_the_other(spark, folder):
+    changes = seasonal({"spring": "train_validation", "autumn": "test"}, keep_only=["Bruised", "Sound", "Wormy"])
+    result = prepare_dataset(spark, config(write_sheets(f"{folder}/in", SEASONS), **changes), f"{folder}/out")
     got = sizes(result)
-    assert got["train"] + got["validation"] == 300 + 260 + 4 * 60
-    assert got["test"] == 280 + 300 + 3 * 60
-    total = account(result)
-    assert total["rows_read"] - total["excluded_by_label"] - total["excluded_by_split"] == total["rows_written"]
-    assert mapping(result) == {"BENIGN": 0, "LDAP": 1, "Syn": 2}
-
-
-def test_experiment_c(spark, folder):
-    """One withheld class is the whole test split."""
-    source = write_two_days(f"{folder}/in")
-    changes = by_day(
-        keep_only=["BENIGN", "DNS", "LDAP", "Syn", "UDPLag"], open_set_labels=["Portmap"]
-    )
-    changes["split"]["capture_day_assignment"] = {"01-12": "train_validation"}
-    result = prepare_dataset(spark, config(source, **changes), f"{folder}/out")
-    test = result["splits"].where("split = 'test'")
-    assert test.count() == 150 and {r[0] for r in test.select("_label").distinct().collect()} == {-1}
-    assert "Portmap" not in mapping(result)
-    assert [r["label"] for r in result["open_set_labels"].collect()] == ["Portmap"]
-    total = account(result)
-    assert total["rows_read"] - total["excluded_by_label"] - total["excluded_by_split"] == total["rows_written"]
-
-
-def coverage_table(folder, rare):
-    rows = [("BENIGN", 600), ("Syn", 400), ("WebDDoS", rare)]
-    frame = pd.concat(
-        [
-            pd.DataFrame({"Flow ID": [f"{n}-{i}" for i in range(k)], "Feature A": 1.0, "Feature B": 2.0, "Label": n})
-            for n, k in rows
-        ]
-    )
-    frame.to_parquet(f"{folder}/flows.parquet", index=False)
-    return folder
+    assert (got["train"] + got["validation"], got["test"]) == (580, 660)
+    assert balanced(account(result)) and account(result)["excluded_by_label"] == 240 + 130
+    assert mapping(result) == {"Bruised": 0, "Sound": 1, "Wormy": 2}
+
+
+def test_a_withheld_grade_is_the_whole_test_split(spark, folder):
+    known = ["Bruised", "Scab", "Sound", "Wormy"]
+    changes = seasonal({"spring": "train_validation"}, keep_only=known, open_set_labels=["Hail"])
+    result = prepare_dataset(spark, config(write_sheets(f"{folder}/in", SEASONS), **changes), f"{folder}/out")
+    test = result["splits"].where("split = 'test'").groupBy("_label").count().collect()
+    assert [tuple(r) for r in test] == [(-1, 130)]
+    assert sorted(mapping(result)) == known and balanced(account(result))
+    assert [r["label"] for r in result["open_set_labels"].collect()] == ["Hail"]
 
 
 def test_rare_class_fails_before_anything_is_written(spark, folder):
-    run = Preparation(spark, config(coverage_table(folder, 1)))
+    run = Preparation(spark, config(write_sheets(f"{folder}/in", {"all": {"Sound": 350, "Hail": 1}})))
     with pytest.raises(ValueError, match="Classes missing"):
         run.write(f"{folder}/out")
     assert not os.path.exists(f"{folder}/out/splits")
 
 
 def test_covered_classes_pass(spark, folder):
-    os.makedirs(f"{folder}/in")
-    result = prepare_dataset(spark, config(coverage_table(f"{folder}/in", 300)), f"{folder}/out")
-    assert set(sizes(result)) == set(SPLITS) and sum(sizes(result).values()) == 1_300
+    source = write_sheets(f"{folder}/in", {"all": {"Sound": 350, "Hail": 170}})
+    result = prepare_dataset(spark, config(source), f"{folder}/out")
+    assert set(sizes(result)) == set(SPLITS) and sum(sizes(result).values()) == 520
 
 
 def test_label_from_file_names(spark, folder):
-    for name, n in (("DrDoS_DNS", 300), ("Syn", 300)):
-        pd.DataFrame({"Flow ID": [f"{name}{i}" for i in range(n)], "x": 1.0}).to_parquet(f"{folder}/{name}.parquet")
+    for name in ("bruise-new", "Hail"):
+        sheet(name, {name: 140}).drop(columns="Grade").to_parquet(f"{folder}/{name}.parquet")
     run = Preparation(spark, config(folder))
     assert run.target is None
-    assert {r["label"] for r in run.narrow.select("label").distinct().collect()} == {"DNS", "Syn"}
+    assert {r["label"] for r in run.narrow.select("label").distinct().collect()} == {"Bruised", "Hail"}
     with pytest.raises(ValueError, match="file-name labels"):
         Preparation(spark, config(folder, dataset={"label_from_filename_if_missing": False}))
 
@@ -164,9 +138,10 @@ def test_settings_are_checked(spark, folder):
         PrepareSettings.from_config(config(folder, preprocessing={"scaling": "standard"}))
     with pytest.raises(ValueError, match="sum to 1"):
         PrepareSettings.from_config(config(folder, split={"test": 0.5}))
-    write_two_days(folder)
+    write_sheets(folder, SEASONS)
     with pytest.raises(ValueError, match="not in every source file"):
-        Preparation(spark, config(folder, split={**by_day()["split"], "capture_day_column": "nope"}))
+        split = seasonal({"spring": "train_validation"})["split"]
+        Preparation(spark, config(folder, split={**split, "capture_day_column": "nope"}))
     with pytest.raises(ValueError, match="group_aware"):
         Preparation(spark, config(folder, dataset={"group_column_candidates": [["x"]]}, split={"strategy": "group_aware"}))
 
@@ -185,6 +160,47 @@ def test_unified_schema(spark, folder):
     assert {r["_relative_path"] for r in rows} == {"1.parquet", "2.parquet"}
 
 
+@pytest.mark.parametrize("other", [[2.5, 3.0], [2**40, 3]])
+def test_types_differ_between_files_of_the_same_names(spark, folder, other):
+    pd.DataFrame({"port": pd.Series([80, 81], dtype="int32")}).to_parquet(f"{folder}/1.parquet")
+    pd.DataFrame({"port": other}).to_parquet(f"{folder}/2.parquet")
+    source = scan.UnifiedSource(spark, folder)
+    assert sorted(r["port"] for r in source.table().collect()) == sorted([80, 81, *other])
+    texts = sorted(r["port"] for r in source.table(text_columns=["port"]).collect())
+    assert texts == sorted(["80", "81", *(str(int(x)) if x == int(x) else str(x) for x in other)])
+
+
+def test_ids_are_of_the_path_below_the_root(spark, folder, monkeypatch):
+    for name in ("a_data", "b_data", "data"):
+        os.makedirs(f"{folder}/data/{name}")
+        pd.DataFrame({"x": [1]}).to_parquet(f"{folder}/data/{name}/x.parquet")
+    expected = {"a_data/x.parquet", "b_data/x.parquet", "data/x.parquet"}
+    frame = scan.with_row_identity(scan.open_files(spark, f"{folder}/data"), f"{folder}/data")
+    rows = frame.select(scan.RELATIVE_PATH, scan.FILE_ID).collect()
+    assert {r[0] for r in rows} == expected and len({r[1] for r in rows}) == 3
+    assert {r["relative_path"] for r in scan.list_files(spark, f"{folder}/data").collect()} == expected
+    with pytest.raises(PySparkException, match="Not a file below"):
+        scan.with_row_identity(scan.open_files(spark, f"{folder}/data"), f"{folder}/data/data").collect()
+
+
+def test_a_folder_with_odd_characters(spark, folder):
+    plain, odd = f"{folder}/plain", f"{folder}/a b+c%41"
+    found = []
+    for root in (plain, odd):
+        os.makedirs(f"{root}/in 1")
+        pd.DataFrame({"x": [1, 2]}).to_parquet(f"{root}/in 1/x y.parquet")
+        rows = scan.UnifiedSource(spark, root).table().collect()
+        found.append(sorted((r["x"], r[scan.RELATIVE_PATH], r[scan.FILE_ID], r[scan.ROW_ID]) for r in rows))
+        assert [r["relative_path"] for r in integrity.integrity_manifest(spark, root).collect()] == ["in 1/x y.parquet"]
+    assert found[0] == found[1] and found[0][0][1] == "in 1/x y.parquet"
+
+
+def test_arrow_spelling_of_locations():
+    assert scan.open_location("file:/a b/c.parquet")[1] == "/a b/c.parquet"
+    assert scan.open_location("/plain/c.parquet")[1] == "/plain/c.parquet"
+    assert scan.ARROW_SCHEMES["s3a"] == "s3"
+
+
 def test_listing_errors(spark, folder):
     with pytest.raises(FileNotFoundError):
         scan.list_files(spark, f"{folder}/missing")
@@ -202,14 +218,14 @@ def test_names():
     assert scan.find_column(["x"], None, ["y"]) is None
     with pytest.raises(ValueError):
         scan.find_column(["x"], "y", ["x"])
-    assert scan.find_group_columns(["Flow ID", "p"], [["q"], ["flow id", "P"]]) == ["Flow ID", "p"]
+    assert scan.find_group_columns(["Crate", "shelf"], [["bin"], ["crate", "SHELF"]]) == ["Crate", "shelf"]
     assert scan.find_group_columns(["a"], [["q"]]) == []
 
 
 def test_column_roles(spark):
     schema = spark.createDataFrame([], "t string, Flow string, n int, d decimal(9,2), b boolean, ts timestamp, x double").schema
     roles = {n: reason for n, _, reason in scan.column_roles(schema, "t", ["Flow"], ["N"], ["^x$"])}
-    assert roles["t"] == "target column" and roles["n"].startswith("explicit")
+    assert roles["t"] == "target column" and roles["n"] == "excluded by name"
     assert roles["Flow"].startswith("group") and roles["x"] == "name pattern: ^x$"
     assert roles["d"] == "non-numeric type: decimal(9,2)" and roles["ts"].startswith("non-numeric")
     assert roles["b"] is None

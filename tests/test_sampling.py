@@ -1,10 +1,12 @@
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.functions.hashing import seeded_hash
+from plumbline.functions.text import canonical_text
 from plumbline.operators import sampling
 
 
@@ -125,3 +127,26 @@ def test_uniform_and_balanced(spark):
 def test_report_sample_of_open_set_rows(spark):
     rows = spark.range(1_000).withColumn("y", F.lit(-1))
     assert sampling.report_sample(rows, "y", 100, F.col("id"), 1).count() == 100
+
+
+def test_null_strata_are_strata(spark):
+    rows = spark.range(100).select(F.col("id"), F.when(F.col("id") % 10 > 0, "a").alias("k"))
+    for target, expected in ((100, {"a": 90, None: 10}), (20, {"a": 18, None: 2})):
+        drawn = sampling.exact_sample(rows, "k", target, F.col("id"), 3)
+        assert {r["k"]: r["count"] for r in drawn.groupBy("k").count().collect()} == expected
+    counts = lambda df: {r["k"]: r["count"] for r in df.groupBy("k").count().collect()}
+    assert sum(counts(sampling.stratified_sample(rows, "k", 30, F.col("id"), 3)).values()) == 30
+    assert sum(counts(sampling.report_sample(rows, "k", 30, F.col("id"), 3)).values()) == 30
+    assert counts(sampling.balanced_sample(rows, "k", 16, F.col("id"), 3)) == {"a": 8, None: 8}
+
+
+def test_repeated_identities_are_refused(spark):
+    rows = spark.range(40).select((F.col("id") % 2).alias("id"), F.lit("a").alias("k"))
+    with pytest.raises(PySparkException, match="identities"):
+        sampling.exact_sample(rows, "k", 15, F.col("id"), 3).count()
+
+
+def test_decimal_keys_are_numbers(spark):
+    rows = spark.sql("SELECT CAST(80 AS DECIMAL(9,2)) a UNION ALL SELECT CAST(80.5 AS DECIMAL(9,2)) UNION ALL SELECT CAST(0 AS DECIMAL(9,2))")
+    texts = {r[0] for r in rows.select(canonical_text("a", rows.schema["a"].dataType)).collect()}
+    assert texts == {"80", "80.5", "0"}
