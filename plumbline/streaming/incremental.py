@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.functions.hashing import divisible, seeded_hash
+from plumbline.functions.numeric import clean_float
 from plumbline.operators import audit
 from plumbline.operators.splits import drop_unassigned, row_identity
 from plumbline.sources.integrity import fingerprint_mismatch
@@ -25,7 +27,10 @@ class IncrementalPreparation:
     """Streaming preparation of a growing directory into ``<output>``.
 
     ``assign`` maps a table with row identity to one with label, keep, open_set, split and
-    ``_identity`` columns (see ``accounting.classify_and_split``).
+    ``_identity`` columns (see ``accounting.classify_and_split``). ``features`` are written as clean
+    float32. ``settings`` is any text that stands for how rows are labelled and split: an output made
+    with other settings, columns or schema is refused. One identity in ``identity_divisor`` is kept for
+    the audit, as in ``audit.leakage_sampled``; 1 keeps all.
     """
 
     def __init__(
@@ -41,7 +46,13 @@ class IncrementalPreparation:
         group_aware: bool = True,
         strategy: str = "auto_group_aware",
         rows_per_part: int = ROWS_PER_PART,
+        features: Sequence[str] = (),
+        settings: str = "",
+        identity_divisor: int = 1,
     ) -> None:
+        if identity_divisor <= 0:
+            raise ValueError("The identity sample divisor must be positive")
+        self.features, self.settings, self.identity_divisor = list(features), settings, identity_divisor
         self.spark, self.directory, self.schema = spark, directory, schema
         self.assign, self.columns, self.pattern = assign, list(columns), pattern
         self.files_per_batch, self.group_aware = files_per_batch, group_aware
@@ -64,7 +75,7 @@ class IncrementalPreparation:
     def _write(self, assigned: DataFrame, folder: str) -> None:
         placed = drop_unassigned(assigned)
         (
-            placed.select(*self.columns, "label", "open_set", "split", RELATIVE_PATH)
+            placed.withColumns({f: clean_float(F.col(f)) for f in self.features}).select(*self.columns, "label", "open_set", "split", RELATIVE_PATH)
             .write.mode("overwrite")
             .partitionBy("split")
             .option("maxRecordsPerFile", self.rows_per_part)
@@ -73,6 +84,8 @@ class IncrementalPreparation:
         group = "_identity" if self.group_aware else None
         ids = audit.identities(placed.withColumn("_row", row_identity()), "_row", group)
         ids = audit.audit_scope(ids, self.strategy)
+        if self.identity_divisor > 1:
+            ids = ids.where(divisible(seeded_hash(audit.AUDIT_SALT, F.col("id")), self.identity_divisor))
         # One row per identity and split of a batch is all a later audit needs.
         (
             ids.groupBy("kind", "id", "split")
@@ -95,6 +108,10 @@ class IncrementalPreparation:
 
     def run(self) -> IncrementalPreparation:
         """Take in every file that is not done yet, then stop. A restart continues."""
+        made_with = [self.settings, self.strategy, str(self.group_aware), str(self.identity_divisor)]
+        made_with += [",".join(self.columns), ",".join(self.features), self.schema.json()]
+        fingerprint = F.sha2(F.concat_ws("\x1f", *[F.lit(x) for x in made_with]), 256)
+        check_resume(self.spark, self.spark.range(1).select(fingerprint.alias("fingerprint")), f"{self.output}/settings")
         reader = (
             self.spark.readStream.schema(self.schema)
             .option("maxFilesPerTrigger", self.files_per_batch)

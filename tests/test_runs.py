@@ -361,3 +361,16 @@ def test_ragged_and_missing_vectors_get_no_scores(spark):
     rows = spark.createDataFrame([(1, [0.0, 0.0, 9.0]), (2, [1.0]), (3, None), (4, [1.0, 1.0]), (5, [])], "id int, v array<float>")
     got = {r["id"]: r["y_prob"] for r in model.score_vectors(rows, "v", 5.0).collect()}
     assert got[1][0] > 0.99 and got[4][1] > 0.99 and got[2] is got[3] is got[5] is None
+
+
+def test_incremental_refuses_other_settings(spark, folder):
+    source, out = f"{folder}/in", f"{folder}/out"
+    write_flows(source, ["f1"])
+    first = stream(spark, source, out)
+    first.features, first.identity_divisor = ["x"], 4
+    first.run()
+    assert dict(first.splits().dtypes)["x"] == "float"
+    kept = spark.read.parquet(f"{out}/identities").where("kind = 'sample'").count()
+    assert 0 < kept < 200
+    with pytest.raises(ValueError, match="other inputs or settings"):
+        stream(spark, source, out).run()
