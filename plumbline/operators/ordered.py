@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 4_096
+MAX_BUCKETS = 65_536
 LOG_STEPS = 64
 ZERO_BUCKET = 20_000
 
