@@ -26,6 +26,24 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+#: Up to how many bytes of Parquet a table is sent to every executor.
+SMALL_BYTES = 16 << 20
+
+
+def small_side(frame: DataFrame) -> DataFrame:
+    """The frame as a written table, marked for broadcast if its files are small.
+
+    A larger one comes back unmarked and is joined by a shuffle.
+    """
+    spark = frame.sparkSession
+    path = fresh_path(spark, "side")
+    frame.write.parquet(path)
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = location.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    found = spark.read.schema(frame.schema).parquet(path)
+    return F.broadcast(found) if system.getContentSummary(location).getLength() <= SMALL_BYTES else found
+
+
 def held_out(doc_id: str = "doc_id") -> F.Column:
     """Whether a row is kept from learning: crc32 of its id as text, modulo 5, is 0. A null id is."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import shingles
 from plumbline.llm.components import Forest, connected
-from plumbline.llm.frames import stored
+from plumbline.llm.frames import small_side, stored
 
 #: Counters of shingles, and how many rows of them move together.
 RARITY_BITS, RARITY_ROWS = 18, 16
@@ -256,7 +256,7 @@ def jaccard_components(
         .groupBy(F.col("node").alias("class"))
         .agg(F.min("row").alias("first"), F.min("doc_id").alias("least_id"))
     )
-    single = signed.join(classes.select("first"), F.col("row") == F.col("first"), "left_semi")
+    single = signed.join(small_side(classes.select("first")), F.col("row") == F.col("first"), "left_semi")
     postings = single.select("node", "n", F.explode("prefix").alias("token"))
     counts = postings.groupBy(F.col("token").alias("shared")).agg(F.count(F.lit(1)).alias("count")).where("count > 1")
     met = stored(postings.join(counts, F.col("token") == F.col("shared")).select("token", "node", "n", "count"), "met")
@@ -342,6 +342,6 @@ def without_near_copies(
     kept = firsts.unionByName(found.where("component is null").select("row")).withColumnRenamed("row", "__kept")
     return (
         docs.withColumn("__row", F.monotonically_increasing_id())
-        .join(kept, F.col("__row") == F.col("__kept"), "left_semi")
+        .join(small_side(kept), F.col("__row") == F.col("__kept"), "left_semi")
         .select(*docs.columns)
     )

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.frames import WORD, stored
+from plumbline.llm.frames import WORD, small_side, stored
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_COPIES = 3
@@ -208,7 +208,7 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     copies = copies.where("copies > 0").select(F.col("key").alias("__key"), F.col("copies").alias("__copies"))
     return (
         docs.withColumn("__row", F.monotonically_increasing_id())
-        .join(copies, F.col("__row") == F.col("__key"))
+        .join(small_side(copies), F.col("__row") == F.col("__key"))
         .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
         .select(*docs.columns)
     )
