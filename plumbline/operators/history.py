@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.checks import guard
-from plumbline.operators.metrics import accuracy, log_loss, per_class_metrics
+from plumbline.operators.metrics import per_class_of, prediction_counts
 from plumbline.operators.ordered import with_previous
+from plumbline.session import written
 
 EVAL_SETS = ("train", "val", "monitor")
 FIGURES = ("multi_logloss", "multi_error", "macro_f1", "macro_recall")
@@ -20,17 +21,21 @@ ALIVE = ("preparing", "running")  # fixed values
 def eval_history(staged: DataFrame, n_classes: int) -> DataFrame:
     """(run, round, eval_set) -> logloss, error, macro F1, macro recall of staged scores."""
     by = ["run", "round", "eval_set"]
+    # Rows are scored and counted once; all figures come from the counts.
+    counted = written(prediction_counts(staged, by), "history")
+    rows = F.sum("rows")
+    right = F.sum(F.when(F.col("y_true") == F.col("y_pred"), F.col("rows")).otherwise(0))
+    figures = counted.groupBy(*by).agg(
+        (F.sum("loss") / F.sum(F.when(F.col("loss").isNotNull(), F.col("rows")))).alias("multi_logloss"),
+        (1 - right / rows).alias("multi_error"),
+        rows.alias("rows"),
+    )
     per_class = (
-        per_class_metrics(staged, n_classes, by)
+        per_class_of(counted.drop("loss"), n_classes, by)
         .groupBy(*by)
         .agg(F.avg("f1").alias("macro_f1"), F.avg("recall").alias("macro_recall"))
     )
-    return (
-        log_loss(staged, by)
-        .withColumnRenamed("log_loss", "multi_logloss")
-        .join(accuracy(staged, by).select(*by, "multi_error", "rows"), by)
-        .join(per_class, by)
-    )
+    return figures.join(per_class, by)
 
 
 def wide_history(history: DataFrame, eval_sets: Sequence[str] = EVAL_SETS) -> DataFrame:
