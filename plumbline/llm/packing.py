@@ -34,7 +34,8 @@ _MEMOS: dict[str, ChunkEncoder] = {}
 class ChunkEncoder:
     """Ids of texts as little-endian unsigned 32-bit bytes, equal to encoding each text whole."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo_chunks: int | None = None):
+        self.memo_chunks = memo_chunks
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -55,7 +56,7 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.chunks(t) for t in texts]
-        if len(self.known) > MEMO_CHUNKS:
+        if len(self.known) > (self.memo_chunks or MEMO_CHUNKS):
             self.known = {}
         known = self.known
         new = set().union(*cut).difference(known)
@@ -75,10 +76,11 @@ class ChunkEncoder:
         return out
 
 
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str, memo_chunks: int | None = None) -> ChunkEncoder:
     """One encoder for each Python worker."""
     if path not in _MEMOS:
         _MEMOS[path] = ChunkEncoder(path)
+    _MEMOS[path].memo_chunks = memo_chunks
     return _MEMOS[path]
 
 
@@ -95,12 +97,13 @@ def pack_documents(
     end_id: int = END_ID,
     doc_id: str = "doc_id",
     text: str = "text",
+    memo_chunks: int | None = None,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (binary), doc_tokens, sequence_id, offset.
 
     ``limit`` is a power of two. ``ids`` holds little-endian unsigned 32-bit ids and ends, with the
     document, in ``end_id``. A null text is empty: its one piece is the end id. Rows of equal id are
-    packed one by one. Each piece fills its sequence, so offset is 0. Nothing is shuffled; sequence
+    packed one by one. ``memo_chunks`` bounds the memory of a worker, None takes MEMO_CHUNKS. Each piece fills its sequence, so offset is 0. Nothing is shuffled; sequence
     ids follow the partitions of the scan, and a task that runs again gives the same ids.
     """
     if limit < 1 or limit & (limit - 1):
@@ -109,7 +112,7 @@ def pack_documents(
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer, memo_chunks).encode
         for batch in batches:
             texts = batch.column("text")
             for a, b in shingles.pieces(texts):
