@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.llm import (
     jaccard,
@@ -332,6 +333,33 @@ def test_similar_lines_equal_brute_force(spark):
     assert Counter((r["doc_id"], r["line"], r["kept"]) for r in found) == expected
 
 
+def test_every_pair_of_a_large_bucket_is_compared(spark, monkeypatch):
+    """Several hundred variants in one bucket, in clusters that hubs hardly meet, with small tiles and large ones."""
+    rng = random.Random(5)
+    texts = []
+    for cluster in range(80):
+        words = prose(3000 + cluster, rng.choice((6, 14, 40))).split(" ")
+        for _ in range(rng.choice((1, 5, 6))):
+            varied = list(words)
+            varied[rng.randrange(len(words))] = rng.choice(("", "x", "other"))
+            texts.append(" ".join(varied))
+    texts = sorted({t.strip() for t in texts})
+    sets = [_line_sets(t)[0][1] for t in texts]
+    links = [
+        (i, j)
+        for i in range(len(texts))
+        for j in range(i)
+        if 100 * len(sets[i] & sets[j]) >= lines.PERCENT * len(sets[i] | sets[j])
+    ]
+    expected = Counter(Counter(components(texts, links, list(range(len(texts))))).values())
+    monkeypatch.setattr(lines, "signatures", lambda units, size: units.select("node", F.array(F.lit(7).cast("long")).alias("bands")))
+    occurrences = lines.line_occurrences(frame(spark, list(enumerate(texts))))
+    for tile in (lines.TILE, 60):
+        monkeypatch.setattr(lines, "TILE", tile)
+        found = Counter(r["count"] for r in lines.line_components(occurrences).groupBy("root").count().collect())
+        assert len(texts) > 250 and found == Counter({k: v for k, v in expected.items() if k > 1})
+
+
 def test_lines_go_and_columns_stay(spark):
     rows = [(1, "Keep this line.\nother words here"), (2, "keep this line. \n\nsecond"), (3, None), (4, ""), (5, "second")]
     docs = frame(spark, rows).coalesce(1)
