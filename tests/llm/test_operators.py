@@ -360,6 +360,28 @@ def test_every_pair_of_a_large_bucket_is_compared(spark, monkeypatch):
         assert len(texts) > 250 and found == Counter({k: v for k, v in expected.items() if k > 1})
 
 
+def test_bands_find_similar_pairs_of_any_length(spark):
+    """Pairs at a similarity of 0.8 or a little more, by length: the share that has a band in common."""
+    rng = random.Random(9)
+    rows, wanted = [], Counter()
+    for length in (14, 23, 50, 95, 365, 1000):
+        for pair in range(1000 if length < 300 else 300):
+            text = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=length))
+            changed = (length - lines.SIZE + 1) // 9
+            other = text[:-changed] + "".join(rng.choices("0123456789", k=changed))
+            x, y = (frozenset(t[i : i + lines.SIZE] for i in range(length - lines.SIZE + 1)) for t in (text, other))
+            if 100 * len(x & y) >= lines.PERCENT * len(x | y):
+                wanted[length] += 1
+                rows += [(2 * len(rows), text, length, pair), (2 * len(rows) + 1, other, length, pair)]
+    units = spark.createDataFrame(rows, "node long, norm string, length int, pair int")
+    banded = lines.signatures(units.select("node", "norm")).select("node", F.explode("bands").alias("band"))
+    met = units.join(banded, "node").groupBy("length", "pair", "band").agg(F.countDistinct("node").alias("n")).where("n = 2")
+    found = Counter(r["length"] for r in met.select("length", "pair").distinct().collect())
+    shares = {length: found[length] / n for length, n in wanted.items()}
+    print(shares, dict(wanted))
+    assert len(shares) == 6 and min(shares.values()) >= 0.965, shares
+
+
 def test_lines_go_and_columns_stay(spark):
     rows = [(1, "Keep this line.\nother words here"), (2, "keep this line. \n\nsecond"), (3, None), (4, ""), (5, "second")]
     docs = frame(spark, rows).coalesce(1)
