@@ -2,7 +2,8 @@
 
 A line is normalised to its words, with A-Z as a-z, one space between them. Lines of at least
 ``min_words`` words are grouped by a 128-bit digest over all documents; the occurrence that comes first
-by document and place stays and the others go. Offsets count code points of the original text.
+by document and place stays and the others go. With ``paragraphs``, shorter lines count as well: a run of
+them up to a blank or a longer line is one unit. Offsets count code points of the original text.
 """
 
 from __future__ import annotations
@@ -20,23 +21,32 @@ _STARTS = np.ones(256, dtype=bool)
 _STARTS[0x80:0xC0] = False
 
 
-def _lines(texts: pa.Array, min_words: int) -> dict[str, np.ndarray]:
-    """text, line, start, end, n_words, d1, d2 of all lines with enough words."""
+def _lines(texts: pa.Array, min_words: int, paragraphs: bool) -> dict[str, np.ndarray]:
+    """text, line, start, end, n_words, d1, d2 of all lines with enough words, or also of the runs of others."""
     data, offsets = shingles.utf8(texts)
     hashes, _, starts, _ = shingles.words(texts, fold=True)
     full = np.flatnonzero(np.diff(offsets))
     cuts = np.flatnonzero(data == 0x0A)
     begin = np.concatenate([offsets[full], cuts + 1])
     text = np.concatenate([full, np.searchsorted(offsets, cuts, side="right") - 1])
-    order = np.argsort(begin, kind="stable")
+    # The empty line after a closing line break begins where the next text does.
+    order = np.lexsort((begin, text))
     begin, text = begin[order], text[order]
     inner = np.append(begin[1:], len(data))
     last = np.append(text[1:] != text[:-1], True) if len(text) else np.zeros(0, bool)
     end = np.where(last, offsets[text + 1], inner - 1) if len(text) else begin
     line = np.arange(len(text)) - np.searchsorted(text, text)
     first, after = np.searchsorted(starts, begin), np.searchsorted(starts, end)
-    kept = after - first >= max(1, min_words)
-    begin, end, text, line, first, after = (x[kept] for x in (begin, end, text, line, first, after))
+    count = after - first
+    heads = tails = count >= max(1, min_words)
+    if paragraphs:
+        short = (count > 0) & ~heads
+        goes_on = short[1:] & short[:-1] & (text[1:] == text[:-1])
+        outside = np.zeros(min(1, len(count)), bool)
+        heads = (count > 0) & ~np.append(outside, goes_on)
+        tails = (count > 0) & ~np.append(goes_on, outside)
+    begin, text, line, first = (x[heads] for x in (begin, text, line, first))
+    end, after = end[tails], after[tails]
     points = np.concatenate([[0], np.cumsum(_STARTS[data], dtype=np.int64)])
     base = points[offsets[text]]
     return {
@@ -50,9 +60,12 @@ def _lines(texts: pa.Array, min_words: int) -> dict[str, np.ndarray]:
     }
 
 
-def passages(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def passages(
+    docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text", paragraphs: bool = False
+) -> DataFrame:
     """All lines with enough words: row, doc_id, line, start, end, n_words and the digest d1, d2.
 
+    With ``paragraphs`` also the runs of shorter lines, each with its first line's number.
     ``row`` tells rows of equal id apart. Null and empty texts have no lines.
     """
     names = ("line", "start", "end", "n_words", "d1", "d2")
@@ -63,7 +76,7 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id"
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, rows, found = batch.column("t"), [], []
         for a, b in shingles.pieces(texts):
-            found.append(_lines(texts.slice(a, b - a), min_words))
+            found.append(_lines(texts.slice(a, b - a), min_words, paragraphs))
             rows.append(found[-1]["text"] + a)
         rows = pa.array(np.concatenate(rows), pa.int64())
         return pa.record_batch(
@@ -78,16 +91,16 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id"
 
 
 def repeated_passages(
-    docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text", paragraphs: bool = False
 ) -> DataFrame:
-    """The occurrences to remove, with the one that stays: one row per removed line.
+    """The occurrences to remove, with the one that stays: one row per removed line, or run of lines.
 
     doc_id, row, line, start, end, n_words, kept_doc_id, kept_line. The first occurrence is the one with
     the smallest id (null ids last), then row, then line; repeats inside one document count too. An
     empty table, null and empty texts give no rows. Groups of any size fold into one row per task before
     they move; only digests that occur twice join back.
     """
-    found = stored(passages(docs, min_words, doc_id, text), "passages")
+    found = stored(passages(docs, min_words, doc_id, text, paragraphs), "passages")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "row", "line")
     groups = (
         found.groupBy(F.col("d1").alias("g1"), F.col("d2").alias("g2"))
@@ -110,14 +123,14 @@ def repeated_passages(
 
 
 def without_passages(
-    docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text", paragraphs: bool = False
 ) -> DataFrame:
     """``docs`` with the repeated lines cut from their texts, and ``removed``: their original offsets.
 
     Each span goes with the line break before it. ``removed`` is an array of (start, end), empty where
     nothing went. The scan gives rows the same numbers as in :func:`repeated_passages`.
     """
-    spans = repeated_passages(docs, min_words, doc_id, text)
+    spans = repeated_passages(docs, min_words, doc_id, text, paragraphs)
     cut = spans.groupBy(F.col("row").alias("__row")).agg(
         F.sort_array(F.collect_list(F.struct("start", "end"))).alias("removed")
     )

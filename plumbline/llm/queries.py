@@ -149,6 +149,39 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(read(spark, sf_dir, "documents")).drop("row")
 
 
+@catalog.query(
+    "op10_paragraph_dedup",
+    rf"""
+    WITH l AS (
+        SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+               generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
+    p AS (
+        SELECT doc_id, line_no,
+               coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no
+                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_at,
+               length(line)::BIGINT AS size,
+               regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                  '{SQL_WORD}') AS words FROM l),
+    b AS (SELECT *, CASE WHEN len(words) BETWEEN 1 AND 7
+                          AND lag(len(words)) OVER (PARTITION BY doc_id ORDER BY line_no) BETWEEN 1 AND 7
+                         THEN 0 ELSE 1 END AS head FROM p),
+    g AS (SELECT *, sum(head) OVER (PARTITION BY doc_id ORDER BY line_no) AS run FROM b),
+    u AS (SELECT doc_id, min(line_no) AS line_no, min(start_at) AS start_at, max(start_at + size) AS end_at,
+                 sum(len(words))::BIGINT AS n_words,
+                 string_agg(array_to_string(words, ' '), ' ' ORDER BY line_no) AS unit
+          FROM g WHERE len(words) > 0 GROUP BY doc_id, run),
+    r AS (SELECT *, row_number() OVER w AS place, first_value(doc_id) OVER w AS kept_doc_id,
+                 first_value(line_no) OVER w AS kept_line
+          FROM u WINDOW w AS (PARTITION BY unit ORDER BY doc_id, line_no))
+    SELECT doc_id, line_no AS line, start_at AS start, end_at AS "end", n_words, kept_doc_id, kept_line
+    FROM r WHERE place > 1
+    """,
+)
+def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of lines of less than eight words are units as well as the longer lines."""
+    return passages.repeated_passages(read(spark, sf_dir, "documents"), paragraphs=True).drop("row")
+
+
 @catalog.query(
     "op1_ngram_jaccard",
     rf"""

@@ -508,3 +508,23 @@ def test_passages_equal_plain_python(spark, monkeypatch):
     counts = Counter(k for x in texts if len(k := tuple(WORD.findall(x.translate(FOLD)))) >= passages.MIN_WORDS)
     assert max(counts.values()) == 1
     assert passages.repeated_passages(frame(spark, [])).count() == 0
+
+
+def test_runs_of_short_lines_are_passages(spark):
+    """A passage broken into lines of up to seven words goes like one that is a single line."""
+    words = prose(77, 60).split(" ")
+    broken = "\n".join(" ".join(words[i : i + 6]) for i in range(0, 60, 6))
+    alone = "one two three"
+    texts = [f"{prose(1, 9)}\n{broken}\n\n{alone}", f"Own start.\n\n{broken.upper()}\n{prose(2, 9)}\n{alone}\n", "\n", None, alone, " ".join(words)]
+    docs = frame(spark, list(enumerate(texts))).coalesce(1)
+    assert passages.repeated_passages(docs).count() == 0
+    found = passages.repeated_passages(docs, paragraphs=True).collect()
+    assert sorted((r["doc_id"], r["line"], r["n_words"], r["kept_doc_id"], r["kept_line"]) for r in found) == [
+        (1, 2, 60, 0, 1),
+        (1, 13, 3, 0, 12),
+        (4, 0, 3, 0, 12),
+        (5, 0, 60, 0, 1),
+    ]
+    left = {r["doc_id"]: r["text"] for r in passages.without_passages(docs, paragraphs=True).collect()}
+    assert left == {0: texts[0], 1: f"Own start.\n\n{prose(2, 9)}\n", 2: "\n", 3: None, 4: "", 5: ""}
+    assert passages.repeated_passages(frame(spark, []), paragraphs=True).count() == 0
