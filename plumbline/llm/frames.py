@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -26,6 +27,16 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def freed(frame: DataFrame) -> DataFrame:
+    """The frame, after Spark was told to drop the shuffle files of frames that are no longer used.
+
+    They stay on the executors' disks until the driver collects its garbage, which it may not do for long.
+    """
+    gc.collect()
+    frame.sparkSession._jvm.System.gc()
+    return frame
+
+
 #: Up to how many bytes of Parquet a table is sent to every executor.
 SMALL_BYTES = 16 << 20
 
