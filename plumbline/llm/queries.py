@@ -7,7 +7,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.catalog import Catalog
-from plumbline.llm import jaccard, language, lines, mixing, packing, passages, quality, rules, toxicity, vectors
+from plumbline.llm import (
+    jaccard,
+    language,
+    lines,
+    merkle,
+    mixing,
+    packing,
+    passages,
+    quality,
+    rules,
+    tokens,
+    toxicity,
+    vectors,
+    whitening,
+)
 from plumbline.llm.frames import held_out, read
 
 catalog = Catalog()
@@ -229,3 +243,64 @@ def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @catalog.query("op7_line_dedup")
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.fuzzy_lines(read(spark, sf_dir, "documents")).drop("row")
+
+
+@catalog.query("op11_embedding_whitening")
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whitened_components(read(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def _merkle_sql(levels: int = 8) -> str:
+    """The trees level by level: up to 16^levels rows of a source and as many sources."""
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+    def leaf(text: str) -> str:
+        values = ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text)
+        return "sha256(" + " || ".join(f"CASE WHEN {v} IS NULL THEN '-' ELSE strlen({v}) || ':' || {v} END" for v in values) + ")"
+
+    # crc32 bit by bit: 3988292384 is the reversed polynomial.
+    step = "list_reduce([xor(c, b)] || [0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))"
+    octets = "list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda s: ord(s)::BIGINT)"
+    crc = f"xor(list_reduce([4294967295::BIGINT] || {octets}, lambda c, b: {step}), 4294967295)"
+    sql = f"""
+    WITH l AS (
+        SELECT row_number() OVER () AS r, doc_id, source, {leaf("text")} AS leaf,
+               CASE WHEN {crc} % 5 = 0 THEN {leaf(lower)} ELSE {leaf("text")} END AS bad FROM documents),
+    p0 AS (SELECT r, coalesce(source, '') AS s, source IS NOT NULL AS named, leaf AS d, bad AS f, '' AS proof,
+                  row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM l)"""
+    for k in range(1, 2 * levels + 1):
+        below = f"p{k - 1}"
+        if k == levels + 1:
+            below = "q"
+            sql += f""",
+    q AS (SELECT r, '' AS s, true AS named, d, f, proof, d AS sub, dense_rank() OVER (ORDER BY named, s) - 1 AS place FROM p{levels})"""
+        sub = ", sub" if k > levels else ""
+        # A node is one row for each leaf below it; siblings are the digests of the other places of the run.
+        sql += f""",
+    n{k} AS MATERIALIZED (SELECT s, named, place // 16 AS run, string_agg(d, '' ORDER BY place) AS run_d, list(d ORDER BY place) AS ds, max(many) AS many
+            FROM (SELECT *, max(place) OVER (PARTITION BY s, named) > 0 AS many FROM (SELECT DISTINCT s, named, place, d FROM {below}))
+            GROUP BY s, named, place // 16),
+    p{k} AS MATERIALIZED (SELECT r, b.s, b.named, CASE WHEN many THEN sha256(run_d) ELSE d END AS d,
+            CASE WHEN many THEN sha256(array_to_string(ds[1:place % 16], '') || f || array_to_string(ds[place % 16 + 2:], '')) ELSE f END AS f,
+            CASE WHEN many THEN proof || array_to_string(ds[1:place % 16], '') || array_to_string(ds[place % 16 + 2:], '') ELSE proof END AS proof,
+            CASE WHEN many THEN place // 16 ELSE place END AS place{sub}
+            FROM {below} b JOIN n{k} n ON b.s = n.s AND b.named = n.named AND b.place // 16 = n.run)"""
+    return sql + f"""
+    SELECT doc_id, leaf, sub AS subroot, d AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = d AS verified
+    FROM p{2 * levels} JOIN l USING (r)"""
+
+
+@catalog.query("op12_merkle_manifest", _merkle_sql(4))
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    text = F.when(hit, F.translate("text", upper, lower)).otherwise(F.col("text"))
+    altered = [*(F.col(f) for f in merkle.FIELDS if f != "text"), text]
+    return merkle.climb(merkle.build(read(spark, sf_dir, "documents"), altered=altered))
+
+
+@catalog.query("op13_token_counts")
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = tokens.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"), "n_chunks")
