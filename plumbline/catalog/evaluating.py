@@ -6,6 +6,7 @@ scaled numbers, which gives many rows and many tied scores.
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -487,50 +488,81 @@ def _lines_of(spark, sf_dir, split: str) -> DataFrame:
     return line_rows(spark, sf_dir).where(F.col("split") == split)
 
 
+#: Side of the square that holds all row numbers, and the steps back into it that are always enough.
+_SIDE = "ceil(sqrt(size))::BIGINT"
+
+
+def _rounds_sql(number: str, feature: str, repeat: int) -> str:
+    """Four Feistel rounds with keys from md5, on numbers below side * side."""
+    left, right = f"({number} // side)", f"({number} % side)"
+    for turn in range(4):
+        digest = hashlib.md5(f"{SEED}|{feature}|{repeat}|{turn}".encode()).hexdigest()
+        mixed = f"(({{}} * {int(digest[:7], 16) + 1} + {int(digest[7:14], 16)}) % 2147483647)"
+        if turn % 2:
+            right = f"(({right} + {mixed.format(left)}) % side)"
+        else:
+            left = f"(({left} + {mixed.format(right)}) % side)"
+    return f"({left} * side + {right})"
+
+
 def _copies_sql(source: str) -> str:
+    """Every row sends its value to the row of the scrambled number; what leaves the numbers walks on until it is back."""
     shuffles = " UNION ALL ".join(
-        f"SELECT line, y_true, split, '{f}' AS feature, {k} AS repeat, {f} AS value FROM {source}"
+        f"""SELECT '{f}' AS feature, {k} AS repeat, {f} AS value,
+        list_reduce([{_rounds_sql("place", f, k)}] || range(200), lambda a, i: CASE WHEN a < size THEN a ELSE {_rounds_sql("a", f, k)} END) AS place FROM numbered"""
         for f in LINE_FEATURES
         for k in range(1, REPEATS + 1)
     )
     replaced = ", ".join(
-        f"CASE WHEN feature = '{f}' THEN donors.value ELSE places.{f} END AS {f}" for f in LINE_FEATURES
+        f"CASE WHEN feature = '{f}' THEN donors.value ELSE numbered.{f} END AS {f}" for f in LINE_FEATURES
     )
-    return f"""jobs AS ({shuffles}),
-  donors AS (SELECT feature, repeat, value, row_number() OVER (PARTITION BY feature, repeat ORDER BY md5('{SEED}|' || feature || '|' || repeat || '|' || line)) AS place FROM jobs),
-  places AS (SELECT *, row_number() OVER (ORDER BY md5('{SEED}|place|' || line)) AS place FROM {source}),
-  copies AS (SELECT feature, repeat, line, y_true, split, {replaced} FROM places JOIN donors USING (place)
+    return f"""placed AS (SELECT *, row_number() OVER (ORDER BY md5('{SEED}|place|' || line)) - 1 AS place, count(*) OVER () AS size FROM {source}),
+  numbered AS (SELECT *, {_SIDE} AS side FROM placed),
+  donors AS ({shuffles}),
+  copies AS (SELECT feature, repeat, line, y_true, split, {replaced} FROM numbered JOIN donors USING (place)
     UNION ALL SELECT '', 0, line, y_true, split, {", ".join(LINE_FEATURES)} FROM {source})"""
 
 
-def _permutation_sql(source: str) -> str:
+def _ranking_sql(source: str) -> str:
+    """CTEs up to ``ranking``: the permutation table with rank."""
     return f"""{_copies_sql(source)}, {_line_soft('copies', 'feature, repeat, line', 6)},
   pred AS (SELECT feature, repeat, line, any_value(y_true) AS y_true, (array_agg(class ORDER BY p DESC, class))[1] AS y_pred FROM prob GROUP BY feature, repeat, line),
   {_per_class_sql("feature, repeat", where="true", n=N_LINE_CLASSES)},
   scores AS (SELECT feature, repeat, avg(f1) AS f1, avg(recall) AS recall FROM per_class GROUP BY ALL),
   base AS (SELECT f1 AS b, recall AS br FROM scores WHERE feature = ''),
-  drops AS (SELECT feature, avg(b - f1) AS m, coalesce(stddev_samp(b - f1), 0) AS s, avg(br - recall) AS mr FROM scores, base WHERE feature <> '' GROUP BY 1)
-  SELECT feature, {r('m')} AS mean_decrease_macro_f1, {r('s')} AS std_decrease_macro_f1, {r('mr')} AS mean_decrease_balanced_accuracy,
-    row_number() OVER (ORDER BY m DESC, feature)::INTEGER AS rank, m <= s AS within_noise FROM drops"""
+  drops AS (SELECT feature, avg(b - f1) AS m, coalesce(stddev_samp(b - f1), 0) AS s, avg(br - recall) AS mr FROM scores, base WHERE feature <> '' GROUP BY 1),
+  ranking AS (SELECT feature, {r('m')} AS mean_decrease_macro_f1, {r('s')} AS std_decrease_macro_f1, {r('mr')} AS mean_decrease_balanced_accuracy,
+    row_number() OVER (ORDER BY m DESC, feature)::INTEGER AS rank, m <= s AS within_noise FROM drops)"""
+
+
+def _permutation_sql(source: str) -> str:
+    return f"{_ranking_sql(source)} SELECT * FROM ranking"
 
 
 def _lines_sql(split: str) -> str:
     return f"{_LINE_ROWS}, picked AS (SELECT * FROM line_rows WHERE split = '{split}')"
 
 
-def _permuted(rows: DataFrame, model: CentroidModel) -> DataFrame:
-    score = lambda copies: model.score(copies, LINE_FEATURES, 20.0).select(
+def _scorer(model: CentroidModel):
+    return lambda copies: model.score(copies, LINE_FEATURES, 20.0).select(
         "feature", "repeat", F.col("_label").alias("y_true"), "y_prob"
     )
-    return importance.permutation_importance(
-        rows, "line", LINE_FEATURES, score, N_LINE_CLASSES, REPEATS, SEED
-    )
 
 
 @catalog.query("permutation_importance", f"WITH {_lines_sql('test')}, {_permutation_sql('picked')}")
 def permutation_importance(spark, sf_dir):
-    model = line_model(line_rows(spark, sf_dir))
-    return rounded(_permuted(_lines_of(spark, sf_dir, "test"), model))
+    rows = _lines_of(spark, sf_dir, "test")
+    score = _scorer(line_model(line_rows(spark, sf_dir)))
+    return rounded(
+        importance.permutation_importance(rows, "line", LINE_FEATURES, score, N_LINE_CLASSES, REPEATS, SEED)
+    )
+
+
+def line_ranking(rows: DataFrame, model: CentroidModel) -> importance.Ranking:
+    """The features of the order lines, ranked on the whole validation split."""
+    return importance.rank_on_validation(
+        rows, "line", LINE_FEATURES, _scorer(model), N_LINE_CLASSES, repeats=REPEATS, seed=SEED
+    )
 
 
 @catalog.query(
@@ -538,9 +570,9 @@ def permutation_importance(spark, sf_dir):
     f"WITH {_lines_sql('validation')}, {_permutation_sql('picked')}",
 )
 def permutation_validation(spark, sf_dir):
-    """On the whole validation split."""
-    rows = _lines_of(spark, sf_dir, "validation")
-    return rounded(_permuted(rows, line_model(line_rows(spark, sf_dir))))
+    """On the whole validation split, with the header that a feature selection asks for."""
+    rows = line_rows(spark, sf_dir)
+    return rounded(line_ranking(rows, line_model(rows)).table)
 
 
 # ---- rounds ------------------------------------------------------------------------------------------------------
@@ -629,48 +661,57 @@ def monitor_set(spark, sf_dir):
 
 # ---- feature-count sweep ---------------------------------------------------------------------------------------------
 
-SWEEP = (8, 16, 32, 64)
-TOLERANCE_F1, TOLERANCE_RECALL = 0.05, 0.12
-
-
-def swept_scores(spark, sf_dir) -> DataFrame:
-    """Validation rows scored by models that see the first k numbers of each vector."""
-    scored = [
-        vectors(spark, sf_dir, dims=k).where(F.col("split") == "validation").withColumn("k", F.lit(k))
-        for k in SWEEP
-    ]
-    return reduce(DataFrame.unionByName, scored)
+SWEEP = (1, 2, 3)
+TOLERANCE_F1, TOLERANCE_RECALL = 0.02, 0.12
 
 
 def sweep(spark, sf_dir) -> DataFrame:
-    classes = metrics.per_class_metrics(swept_scores(spark, sf_dir), N_VECTOR_CLASSES, ["k"])
-    scores = classes.groupBy("k").agg(
-        F.avg("f1").alias("macro_f1"), F.avg("recall").alias("balanced_accuracy")
-    )
-    return decisions.sweep_table(
-        scores, classes.select("k", "class", "recall"), SWEEP[-1], TOLERANCE_F1, TOLERANCE_RECALL
+    """Models on the k best features of the validation ranking against the one on all of them."""
+    rows = line_rows(spark, sf_dir)
+    model = line_model(rows)
+
+    def score(held: DataFrame, order: list[str], counts: list[int]) -> DataFrame:
+        return model.score_nested(held, LINE_FEATURES, order, counts, 20.0)
+
+    return decisions.sweep_ranked(
+        rows.withColumn("y_true", F.col("_label")),
+        LINE_FEATURES,
+        line_ranking(rows, model),
+        SWEEP,
+        score,
+        N_LINE_CLASSES,
+        TOLERANCE_F1,
+        TOLERANCE_RECALL,
     )
 
 
 def _sweep_sql() -> str:
-    parts, names = [], []
-    for k in SWEEP:
-        body = _scored_sql(dims=k)
-        for cte in ("emb", "cells", "means", "dist", "marg", "soft", "prob", "pred"):
-            body = body.replace(f"{cte} AS (", f"{cte}{k} AS (").replace(f"FROM {cte}", f"FROM {cte}{k}")
-            body = body.replace(f"JOIN {cte}", f"JOIN {cte}{k}")
-        body = body.replace(f"FROM emb{k}eddings", "FROM embeddings")
-        parts.append(body)
-        names.append(f"SELECT {k} AS k, * FROM pred{k} WHERE split = 'validation'")
-    return f"""{", ".join(parts)}, swept AS ({" UNION ALL ".join(names)}), {_per_class_sql("k", "swept", "true")},
-  scores AS (SELECT k, avg(f1) AS f1, avg(recall) AS balanced FROM per_class GROUP BY k),
-  b AS (SELECT f1 AS bf, balanced AS bb FROM scores WHERE k = {SWEEP[-1]}),
-  dropped AS (SELECT p.k, p.class, q.recall - p.recall AS d FROM per_class p JOIN per_class q ON p.class = q.class AND q.k = {SWEEP[-1]} AND p.k < {SWEEP[-1]}),
+    """The same from one row per line, class and k: distances over the features whose rank is at most k."""
+    cells = " UNION ALL ".join(
+        f"SELECT line, y_true AS truth, class, '{f}' AS feature, ({f} - m{i}) * ({f} - m{i}) AS gap FROM picked, means"
+        for i, f in enumerate(LINE_FEATURES, 1)
+    )
+    top = len(LINE_FEATURES)
+    counts = ", ".join(f"({k})" for k in (*SWEEP, top))
+    body = _per_class_sql("k", "swept", "true", N_LINE_CLASSES)
+    for cte in ("grid", "raw", "per_class"):
+        body = body.replace(f"{cte} AS (", f"k_{cte} AS (").replace(f"FROM {cte}", f"FROM k_{cte}")
+    return f"""{_lines_sql('validation')}, {_ranking_sql('picked')},
+  cells AS ({cells}),
+  k_dist AS (SELECT k, line, truth, class, -sum(gap) * 20.0 AS margin FROM cells JOIN ranking USING (feature)
+    JOIN (VALUES {counts}) v(k) ON rank <= k GROUP BY ALL),
+  k_soft AS (SELECT *, exp(margin - max(margin) OVER (PARTITION BY k, line)) AS e FROM k_dist),
+  k_prob AS (SELECT k, line, truth, class, round(e / sum(e) OVER (PARTITION BY k, line), 6)::FLOAT AS p FROM k_soft),
+  swept AS (SELECT k, line, any_value(truth) AS y_true, (array_agg(class ORDER BY p DESC, class))[1] AS y_pred FROM k_prob GROUP BY k, line),
+  {body},
+  k_scores AS (SELECT k, avg(f1) AS f1, avg(recall) AS balanced FROM k_per_class GROUP BY k),
+  b AS (SELECT f1 AS bf, balanced AS bb FROM k_scores WHERE k = {top}),
+  dropped AS (SELECT p.k, p.class, q.recall - p.recall AS d FROM k_per_class p JOIN k_per_class q ON p.class = q.class AND q.k = {top} AND p.k < {top}),
   worst AS (SELECT k, max(d) AS d, (array_agg(class ORDER BY d DESC, class))[1] AS class FROM dropped GROUP BY k),
   sweep AS (SELECT s.k::INTEGER AS k, f1 AS macro_f1, balanced AS balanced_accuracy, w.class AS worst_class, coalesce(w.d, 0) AS worst_class_recall_drop,
-    s.k = {SWEEP[-1]} AS is_baseline, bf - f1 AS delta_macro_f1, bb - balanced AS delta_balanced_accuracy,
-    s.k = {SWEEP[-1]} OR (bf - f1 <= {TOLERANCE_F1} AND coalesce(w.d, 0) <= {TOLERANCE_RECALL}) AS accepted
-    FROM scores s CROSS JOIN b LEFT JOIN worst w ON w.k = s.k)"""
+    s.k = {top} AS is_baseline, bf - f1 AS delta_macro_f1, bb - balanced AS delta_balanced_accuracy,
+    s.k = {top} OR (bf - f1 <= {TOLERANCE_F1} AND coalesce(w.d, 0) <= {TOLERANCE_RECALL}) AS accepted
+    FROM k_scores s CROSS JOIN b LEFT JOIN worst w ON w.k = s.k)"""
 
 
 @catalog.query(
@@ -749,25 +790,13 @@ def _candidates(spark) -> DataFrame:
 
 @catalog.query(
     "select_topk_ranking",
-    """WITH values AS (SELECT 0 AS position, 'f_quantity' AS feature, avg(l_quantity / 50) AS v FROM lineitem
-      UNION ALL SELECT 1, 'f_price', avg(l_extendedprice / 100000) FROM lineitem
-      UNION ALL SELECT 2, 'f_discount', avg(l_discount * 10) FROM lineitem UNION ALL SELECT 3, 'f_tax', avg(l_tax * 12.5) FROM lineitem),
-    ranking AS (SELECT *, row_number() OVER (ORDER BY round(v, 6) DESC, feature) AS rank FROM values)
-    SELECT row_number() OVER (ORDER BY position)::INTEGER AS model_position, position::INTEGER AS position, feature, rank::INTEGER AS rank
-    FROM ranking WHERE rank <= 2""",
+    f"""WITH {_lines_sql('validation')}, {_ranking_sql('picked')}
+    SELECT row_number() OVER (ORDER BY position)::INTEGER AS model_position, position::INTEGER AS position, feature, rank
+    FROM ranking JOIN (VALUES {", ".join(f"({i}, '{f}')" for i, f in enumerate(LINE_FEATURES))}) v(position, feature) USING (feature)
+    WHERE rank <= 2""",
 )
 def select_topk_ranking(spark, sf_dir):
-    """The two best features of a ranking by mean value."""
-    cells = [F.struct(F.lit(f).alias("feature"), F.col(f).alias("v")) for f in LINE_FEATURES]
-    means = (
-        line_rows(spark, sf_dir)
-        .agg(*[F.round(F.avg(f), 6).alias(f) for f in LINE_FEATURES])
-        .select(F.inline(F.array(*cells)))
-    )
-    ranking = importance.importance_table(means, "v", "value").select(
-        "feature", F.col("rank_value").alias("rank")
-    )
-    header = {"format_version": 1, "scored_split": "validation"}
-    return importance.select_topk_ranking(_candidates(spark), ranking, 2, header)
-
-
+    """The two best features of the validation ranking, in their original order."""
+    rows = line_rows(spark, sf_dir)
+    ranking = line_ranking(rows, line_model(rows))
+    return importance.select_topk_ranking(_candidates(spark), ranking.table, 2, ranking.header)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plumbline.operators.importance import RANKING_SPLIT, Ranking, ranked_features
+from plumbline.operators.metrics import mixed_open_set, per_class_metrics
+
 
 def sweep_table(
     scores: DataFrame,
@@ -62,3 +67,32 @@ def choose_k(sweep: DataFrame) -> DataFrame:
     """One row: the smallest accepted k that is not the baseline, or NULL."""
     able = F.col("accepted") & ~F.col("is_baseline")
     return sweep.agg(F.min(F.when(able, F.col("k"))).alias("chosen_k"))
+
+
+def sweep_ranked(
+    rows: DataFrame,
+    features: Sequence[str],
+    ranking: Ranking,
+    candidates: Sequence[int],
+    score: Callable[[DataFrame, list[str], list[int]], DataFrame],
+    n_classes: int,
+    tolerance_macro_f1: float,
+    tolerance_class_recall: float,
+) -> DataFrame:
+    """The sweep over the k best ranked features, for every candidate k below the number of features.
+
+    ``rows`` has ``split`` and ``y_true``; only its validation rows are scored, and open-set rows among them are refused.
+    The baseline sees all features. ``score`` gets the rows, the features from the best on and the counts, and
+    returns (k, y_true, y_prob) of all of them: one scan for the whole sweep. The ranking has to be one of these
+    features, measured on validation.
+    """
+    order = ranked_features(features, ranking)
+    counts = sorted({k for k in candidates if k < len(order)} | {len(order)})
+    if counts[0] < 1:
+        raise ValueError(f"k={counts[0]} is outside 1..{len(order)}")
+    held = rows.where(F.col("split") == RANKING_SPLIT)
+    mixed_open_set(held, fail=True)
+    classes = per_class_metrics(score(held, order, counts), n_classes, ["k"])
+    scores = classes.groupBy("k").agg(F.avg("f1").alias("macro_f1"), F.avg("recall").alias("balanced_accuracy"))
+    recall = classes.select("k", "class", "recall")
+    return sweep_table(scores, recall, len(order), tolerance_macro_f1, tolerance_class_recall)

@@ -214,7 +214,7 @@ class CentroidModel:
     ) -> DataFrame:
         """The same for an array column, as one matrix product per Arrow batch.
 
-        A vector that is NULL, or shorter than the centroids, gets no scores.
+        A vector that is NULL, or not as long as the centroids, gets no scores.
         """
         means = np.array([self.centroids[c] for c in sorted(self.centroids)])
         lengths = (means * means).sum(axis=1)
@@ -223,7 +223,7 @@ class CentroidModel:
         def softmax(vectors: pa.Array, scales: pa.Array) -> pa.Array:
             n, width = len(vectors), means.shape[1]
             starts = vectors.offsets.to_numpy()
-            whole = (np.diff(starts) >= width) & vectors.is_valid().to_numpy(zero_copy_only=False)
+            whole = (np.diff(starts) == width) & vectors.is_valid().to_numpy(zero_copy_only=False)
             cells = vectors.values.to_numpy(zero_copy_only=False).astype(np.float64)
             rows = np.zeros((n, width))
             rows[whole] = cells[starts[:-1][whole][:, None] + np.arange(width)]
@@ -236,3 +236,47 @@ class CentroidModel:
 
         factor = scale if isinstance(scale, Column) else F.lit(float(scale))
         return frame.withColumn("y_prob", softmax(F.col(vector), factor.cast("double")))
+
+    def score_nested(
+        self,
+        frame: DataFrame,
+        features: Sequence[str],
+        order: Sequence[str],
+        counts: Sequence[int],
+        scale: float = 1.0,
+        digits: int = 6,
+    ) -> DataFrame:
+        """Rows once for each k of ``counts``, with ``k`` and the y_prob of the model that sees the first k of ``order`` alone.
+
+        ``features`` names the columns in the order of the centroids. A squared distance is a sum over features, so that
+        of every k is a prefix of one running sum along ``order``: one scan and one pass over the features give all
+        models. A row with a NULL among the features gets no scores.
+        """
+        at = [list(features).index(f) for f in order]
+        means = np.array([self.centroids[c] for c in sorted(self.centroids)])[:, at]
+        wanted, classes = sorted(set(counts)), len(self.centroids)
+        if not wanted or not 1 <= wanted[0] <= wanted[-1] <= len(order):
+            raise ValueError(f"Feature counts have to be within 1..{len(order)}")
+
+        @F.arrow_udf("array<float>")
+        def nested(vectors: pa.Array) -> pa.Array:
+            n, width = len(vectors), means.shape[1]
+            cells = vectors.flatten()
+            known = np.asarray(cells.is_valid()).reshape(n, width).all(axis=1)
+            rows = cells.fill_null(0.0).to_numpy(zero_copy_only=False).reshape(n, width)
+            out = np.empty((n, len(wanted), classes), dtype=np.float32)
+            margins = np.zeros((n, classes))
+            for i in range(wanted[-1]):
+                margins -= (rows[:, i : i + 1] - means[:, i]) ** 2 * scale
+                if i + 1 in wanted:
+                    powers = np.exp(margins - margins.max(axis=1, keepdims=True))
+                    out[:, wanted.index(i + 1)] = np.round(powers / powers.sum(axis=1, keepdims=True), digits)
+            offsets = pa.array(np.arange(n + 1, dtype=np.int32) * (len(wanted) * classes))
+            return pa.ListArray.from_arrays(offsets, pa.array(out.ravel()), mask=pa.array(~known))
+
+        ordered = F.array(*[F.col(f).cast("double") for f in order])
+        each = [
+            F.struct(F.lit(k).alias("k"), F.slice("_nested", i * classes + 1, classes).alias("y_prob"))
+            for i, k in enumerate(wanted)
+        ]
+        return frame.withColumn("_nested", nested(ordered)).select(*frame.columns, F.inline(F.array(*each)))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.operators import accounting, decisions, history, importance, ordered
+from plumbline.operators import accounting, decisions, history, importance, metrics, ordered
 from plumbline.operators.labels import LabelPolicy
 from plumbline.plans.model import CentroidModel, fit_multiclass
 from plumbline.streaming.incremental import IncrementalPreparation, check_resume
@@ -138,6 +138,87 @@ def test_permutation_finds_the_useful_features(spark):
     assert {r["std_decrease_macro_f1"] for r in single} == {0.0}
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 50, 997, 20_000])
+def test_scrambled_numbers_are_permutations(spark, n):
+    keys = F.array(*[F.lit(k).cast("long") for k in importance._round_keys(5, "a", 1)])
+    frame = spark.range(n).withColumn("_keys", keys)
+    found = [r[0] for r in frame.select(importance.bijection("id", n)).collect()]
+    assert sorted(found) == list(range(n))
+    assert n < 50 or sum(x != i for i, x in enumerate(found)) > 0.9 * n
+
+
+def test_copies_have_no_window_and_no_rows_of_nothing(spark):
+    rows = blobs(spark).select("row_id", "_label", "a", "b")
+    plan = importance.permuted_copies(rows, "row_id", ["a", "b"], 2, 7)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+    assert importance.permuted_copies(rows.limit(0), "row_id", ["a"], 2, 7).count() == 0
+
+
+def ranked_blobs(spark, **settings):
+    rows = blobs(spark)
+    names = ["noise", "b", "a"]
+    model = CentroidModel.fit(rows.where("split = 'train'"), names)
+    score = lambda c: model.score(c, names, 2.0).withColumnRenamed("_label", "y_true")
+    return rows, names, model, importance.rank_on_validation(rows, "row_id", names, score, 3, **settings)
+
+
+def test_ranking_of_a_sample_is_written_and_read(spark, folder):
+    rows, names, _, found = ranked_blobs(spark, maximum_rows=60, repeats=3, run_id="r7")
+    held = rows.where("split = 'validation'").count()
+    assert (found.header["split_rows_available"], found.header["split_rows_scored"]) == (held, 60)
+    assert found.header["candidate_feature_count"] == 3 and found.header["run_id"] == "r7"
+    assert 0.5 < found.header["baseline_macro_f1"] <= 1
+    assert found.header["features_within_noise"] == found.table.where("within_noise").count()
+    importance.write_ranking(found, folder)
+    loaded = importance.load_ranking(spark, folder)
+    assert loaded.header == found.header
+    assert sorted(map(tuple, loaded.table.select("rank", "feature").collect())) == sorted(
+        map(tuple, found.table.select("rank", "feature").collect())
+    )
+    assert importance.ranked_features(names, loaded)[-1] == "noise"
+    with pytest.raises(ValueError):
+        importance.ranked_features(["a", "b"], loaded)
+    importance.write_ranking(importance.Ranking(found.table, {**found.header, "scored_split": "test"}), folder)
+    with pytest.raises(ValueError, match="validation"):
+        importance.load_ranking(spark, folder)
+
+
+def test_ranked_sweep_scores_every_k_like_a_model_of_its_own(spark):
+    rows, names, model, found = ranked_blobs(spark, repeats=2)
+    order = importance.ranked_features(names, found)
+    held = rows.where("split = 'validation'").withColumn("y_true", F.col("_label"))
+    nested = model.score_nested(held, names, order, [1, 2, 3], 2.0)
+    for k in (1, 2, 3):
+        alone = CentroidModel.fit(rows.where("split = 'train'"), order[:k]).score(held, order[:k], 2.0)
+        both = nested.where(F.col("k") == k).join(alone.select("row_id", F.col("y_prob").alias("q")), "row_id")
+        far = both.where(F.exists(F.zip_with("y_prob", "q", lambda x, y: F.abs(x - y)), lambda d: d > 2e-6))
+        assert both.count() == held.count() and far.isEmpty()
+    gap = held.limit(1).withColumn("a", F.lit(None).cast("double"))
+    assert {r["y_prob"] for r in model.score_nested(gap, names, order, [3]).collect()} == {None}
+    with pytest.raises(ValueError, match="counts"):
+        model.score_nested(held, names, order, [4])
+    score = lambda h, o, ks: model.score_nested(h, names, o, ks, 2.0)
+    given = rows.withColumn("y_true", F.col("_label"))
+    table = decisions.sweep_ranked(given, names, found, [1, 2, 3, 9], score, 3, 0.02, 0.05)
+    got = {r["k"]: r for r in table.collect()}
+    assert set(got) == {1, 2, 3} and got[3]["is_baseline"] and got[3]["delta_macro_f1"] == 0
+    for k in (1, 2):
+        mine = metrics.validation_scores(nested.where(F.col("k") == k), 3).first()
+        assert got[k]["macro_f1"] == pytest.approx(mine["macro_f1"])
+        assert got[k]["accepted"] == (got[k]["delta_macro_f1"] <= 0.02 and got[k]["worst_class_recall_drop"] <= 0.05)
+    passing = [k for k in (1, 2) if got[k]["accepted"]]
+    assert passing and decisions.choose_k(table).first()["chosen_k"] == min(passing)
+    opened = given.withColumn("y_true", F.when(F.col("row_id") < 40, -1).otherwise(F.col("y_true")))
+    with pytest.raises(ValueError):
+        decisions.sweep_ranked(opened, names, found, [1], score, 3, 0.02, 0.05).collect()
+
+
+def test_vectors_of_another_length_get_no_scores(spark):
+    model = CentroidModel({0: [0.0, 0.0], 1: [1.0, 1.0]})
+    rows = spark.createDataFrame([(1, [0.1, 0.2]), (2, [0.1]), (3, [0.1, 0.2, 0.3]), (4, None)], "id int, v array<double>")
+    assert {r["id"]: r["y_prob"] is not None for r in model.score_vectors(rows, "v").collect()} == {1: True, 2: False, 3: False, 4: False}
+
+
 def ranking(spark, names):
     return spark.createDataFrame([(i + 1, n) for i, n in enumerate(names)], "rank int, feature string")
 
