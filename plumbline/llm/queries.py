@@ -142,25 +142,33 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     "op10_substring_dedup",
     rf"""
     WITH l AS (
-        SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
-               generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
+        SELECT doc_id, unnest(string_split(text, chr(10))) AS raw,
+               generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
     p AS (
-        SELECT doc_id, line_no,
-               coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no
-                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_at,
-               length(line)::BIGINT AS size,
-               regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        SELECT doc_id, line, coalesce(sum(length(raw) + 1) OVER (PARTITION BY doc_id ORDER BY line
+                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, length(raw)::BIGINT AS size,
+               regexp_extract_all(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                   '{SQL_WORD}') AS words FROM l),
-    u AS (SELECT *, array_to_string(words, ' ') AS unit FROM p WHERE len(words) >= 8),
-    r AS (SELECT *, row_number() OVER g AS place, first_value(doc_id) OVER g AS kept_doc_id,
-                 first_value(line_no) OVER g AS kept_line
-          FROM u WINDOW g AS (PARTITION BY unit ORDER BY doc_id, line_no))
-    SELECT doc_id, line_no AS line, start_at AS start, start_at + size AS "end", len(words) AS n_words,
-           kept_doc_id, kept_line FROM r WHERE place > 1
+    w AS (SELECT *, row_number() OVER o - 1 AS unit, line - row_number() OVER o AS block FROM p WHERE len(words) > 0
+          WINDOW o AS (PARTITION BY doc_id ORDER BY line)),
+    u AS (SELECT doc_id, line, 1::BIGINT AS n_lines, start, start + size AS "end", len(words)::BIGINT AS n_words,
+                 array_to_string(words, ' ') AS content, unit, block FROM w
+          UNION ALL
+          SELECT doc_id, min(line), count(*), min(start), max(start + size), sum(len(words))::BIGINT,
+                 string_agg(array_to_string(words, ' '), ' ' ORDER BY line), min(unit), block
+          FROM w GROUP BY doc_id, block HAVING count(*) > 1),
+    r AS (SELECT *, row_number() OVER f > 1 AS again, first_value(doc_id) OVER f AS kept_doc_id,
+                 first_value(line) OVER f AS kept_line FROM u
+          WINDOW f AS (PARTITION BY content ORDER BY doc_id, start, n_lines)),
+    b AS (SELECT *, bool_or(again AND n_lines > 1 AND n_words >= 50) OVER (PARTITION BY doc_id, block) AS whole,
+                 unit - row_number() OVER (PARTITION BY doc_id, n_lines > 1, again ORDER BY unit) AS run FROM r),
+    s AS (SELECT *, sum(n_words) OVER (PARTITION BY doc_id, n_lines > 1, again, run) AS stretch FROM b)
+    SELECT doc_id, line, n_lines, start, "end", n_words,
+           NOT (whole OR (again AND n_lines = 1 AND stretch >= 50)) AS kept, kept_doc_id, kept_line FROM s
     """,
 )
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages.repeated_passages(read(spark, sf_dir, "documents")).drop("row")
+    return passages.passage_units(read(spark, sf_dir, "documents")).drop("row", "digest")
 
 
 @catalog.query(
