@@ -46,13 +46,19 @@ def small_side(frame: DataFrame) -> DataFrame:
 
     A larger one comes back unmarked and is joined by a shuffle.
     """
+    found, small = sized(frame)
+    return F.broadcast(found) if small else found
+
+
+def sized(frame: DataFrame) -> tuple[DataFrame, bool]:
+    """The frame as a written table, and whether its files are small enough to send to every executor."""
     spark = frame.sparkSession
     path = fresh_path(spark, "side")
     frame.write.parquet(path)
     location = spark._jvm.org.apache.hadoop.fs.Path(path)
     system = location.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
     found = spark.read.schema(frame.schema).parquet(path)
-    return F.broadcast(found) if system.getContentSummary(location).getLength() <= SMALL_BYTES else found
+    return found, system.getContentSummary(location).getLength() <= SMALL_BYTES
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
@@ -66,12 +72,17 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str) -> DataFrame:
     Held-out rows, null ids and null labels stay out. An id that several label rows disagree on takes
     the larger label.
     """
-    known = (
+    known = known_labels(labels, column)
+    return docs.where(~held_out()).join(known, F.col("doc_id") == F.col("labelled_id")).drop("labelled_id")
+
+
+def known_labels(labels: DataFrame, column: str) -> DataFrame:
+    """labelled_id, label: one row for each id with a 0/1 label."""
+    return (
         labels.where(F.col("doc_id").isNotNull() & F.col(column).isin(0, 1))
         .groupBy(F.col("doc_id").alias("labelled_id"))
         .agg(F.max(column).cast("int").alias("label"))
     )
-    return docs.where(~held_out()).join(known, F.col("doc_id") == F.col("labelled_id")).drop("labelled_id")
 
 
 def map_batches(
@@ -83,5 +94,7 @@ def map_batches(
         for batch in batches:
             if batch.num_rows:
                 yield function(batch)
+        # Workers are used again; what stays in Arrow's pool counts against stages that come later.
+        pa.default_memory_pool().release_unused()
 
     return frame.mapInArrow(run, schema)

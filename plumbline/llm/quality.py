@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import rules, shingles
-from plumbline.llm.frames import labelled, map_batches, stored
+from plumbline.llm.frames import held_out, known_labels, labelled, map_batches, sized, stored
 
 FEATURES = (
     "words",
@@ -128,10 +128,17 @@ def fit(rows: DataFrame, shrink: float = 0.1, sphere: float = 0.05, one_class_we
 
 
 def learn(docs: DataFrame, labels: DataFrame, text: str = "text", **settings: float) -> Discriminant | None:
-    """The model of the labelled rows of ``docs`` that are not held out; None without both labels."""
-    known = labelled(docs.select("doc_id", F.col(text).alias("text")), labels, "quality")
-    measured = statistics(known.select("doc_id", "text", "label"), keep=("label",))
-    return fit(measured, **settings)
+    """The model of the labelled rows of ``docs`` that are not held out; None without both labels.
+
+    Texts are measured where they lie and only their statistics meet the labels. Few labels are sent ahead, so that texts
+    without one are not measured.
+    """
+    rows = docs.select("doc_id", F.col(text).alias("text")).where(~held_out())
+    known, small = sized(known_labels(labels, "quality"))
+    same = F.col("doc_id") == F.col("labelled_id")
+    if small:
+        rows = rows.join(F.broadcast(known.select("labelled_id")), same, "left_semi")
+    return fit(statistics(rows).join(F.broadcast(known) if small else known, same).select("x", "label"), **settings)
 
 
 def scored(docs: DataFrame, model: Discriminant | None, text: str = "text", column: str = "score") -> DataFrame:
