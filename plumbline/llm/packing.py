@@ -4,16 +4,11 @@ A document of T tokens becomes floor(T / limit) pieces of the limit and one piec
 digit of the rest. Every piece is a sequence of its own whose length is a power of two, so no
 sequence crosses documents, none has padding, and sequences of equal length share a bucket.
 
-Tokenizing dominates. Byte-level BPE never merges over a single space between two characters that are
-not white space, so a text falls apart there, and each different chunk is encoded once while it is in
-a bounded memo.
+Tokenizing dominates; see :mod:`plumbline.llm.vocabulary`.
 """
 
 from __future__ import annotations
 
-import os
-import re
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,66 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import shingles
+from plumbline.llm.vocabulary import encoder
 
 LIMIT = 2048
 END_ID = 1
-#: Chunks that a memo holds before it starts anew, and the longest chunk that it takes.
-MEMO_CHUNKS, MEMO_CHARS = 600_000, 64
-_CUT = re.compile(r"(?<=\S)(?= \S)")
-_MEMOS: dict[str, ChunkEncoder] = {}
-
-
-class ChunkEncoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes, equal to encoding each text whole."""
-
-    def __init__(self, path: str, memo_chunks: int | None = None):
-        self.memo_chunks = memo_chunks
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def chunks(self, text: str) -> list[str]:
-        """Cut before each single space between two characters that are not white space."""
-        if "\0" in text:
-            return _CUT.split(text)
-        return text.replace(" ", "\0 ").split("\0")
-
-    def learn(self, chunks: list[str]) -> None:
-        found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        pack = struct.Struct
-        self.known.update((c, pack(f"<{len(i)}I").pack(*i)) for c, i in zip(chunks, (e.ids for e in found), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.chunks(t) for t in texts]
-        if len(self.known) > (self.memo_chunks or MEMO_CHUNKS):
-            self.known = {}
-        known = self.known
-        new = set().union(*cut).difference(known)
-        # Where white space meets the cut, the text is cut again with care; such chunks are not kept.
-        odd = {c for c in new if c[-1:].isspace() or c[1:2].isspace() and c[:1] == " "}
-        if odd:
-            cut = [c if odd.isdisjoint(c) else _CUT.split(t) for c, t in zip(cut, texts, strict=True)]
-            new = set().union(*cut).difference(known)
-        # A comma or full stop after a letter is a piece of its own, so the word before it is looked up.
-        ended = [c for c in new if c[-1:] in (",", ".") and "A" <= c[-2:-1] < "\u0250" and c[-2].isalpha()]
-        stems = {c[:-1] for c in ended}
-        self.learn(list({*new.difference(ended), *stems, ",", "."}.difference(known)))
-        known.update([(c, known[c[:-1]] + known[c[-1]]) for c in ended])
-        out = [b"".join(map(known.__getitem__, c)) for c in cut]
-        for c in (*(c for c in new if len(c) > MEMO_CHARS), *odd):
-            known.pop(c, None)
-        return out
-
-
-def encoder(path: str, memo_chunks: int | None = None) -> ChunkEncoder:
-    """One encoder for each Python worker."""
-    if path not in _MEMOS:
-        _MEMOS[path] = ChunkEncoder(path)
-    _MEMOS[path].memo_chunks = memo_chunks
-    return _MEMOS[path]
 
 
 def binary_lengths(total: int, limit: int = LIMIT) -> list[int]:
@@ -97,14 +36,13 @@ def pack_documents(
     end_id: int = END_ID,
     doc_id: str = "doc_id",
     text: str = "text",
-    memo_chunks: int | None = None,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (binary), doc_tokens, sequence_id, offset.
 
     ``limit`` is a power of two. ``ids`` holds little-endian unsigned 32-bit ids and ends, with the
     document, in ``end_id``. A null text is empty: its one piece is the end id. Rows of equal id are
-    packed one by one. ``memo_chunks`` bounds the memory of a worker, None takes MEMO_CHUNKS. Each piece fills its sequence, so offset is 0. Nothing is shuffled; sequence
-    ids follow the partitions of the scan, and a task that runs again gives the same ids.
+    packed one by one, other columns are not read. Special strings inside a text are encoded as the tokenizer does by
+    default. Each piece fills its sequence, so offset is 0. Nothing is shuffled; sequence ids follow the partitions of the scan, and a task that runs again gives the same ids.
     """
     if limit < 1 or limit & (limit - 1):
         raise ValueError("limit must be a power of two")
@@ -112,7 +50,7 @@ def pack_documents(
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, memo_chunks).encode
+        encode = encoder(tokenizer).packed
         for batch in batches:
             texts = batch.column("text")
             for a, b in shingles.pieces(texts):
@@ -143,6 +81,10 @@ def pack_documents(
     return pieces.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
 
 
-def write_buckets(pieces: DataFrame, path: str) -> None:
-    """Write the sequences in one folder for each length, so that a batch holds equal lengths."""
+def write_buckets(pieces: DataFrame, path: str) -> DataFrame:
+    """Write the sequences in one folder for each length, ``bucket=<length>``, so that a batch holds equal lengths.
+
+    Returns what was written. There are as many buckets as powers of two up to the limit.
+    """
     pieces.withColumn("bucket", F.col("length")).write.partitionBy("bucket").parquet(path)
+    return pieces.sparkSession.read.parquet(path)

@@ -11,9 +11,9 @@ again with longer chunks and a wider overlap until all pairs splice or one chunk
 
 from __future__ import annotations
 
-import json
-import os
+from bisect import bisect_left
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.frames import stored
+from plumbline.llm.vocabulary import Encoder, encoder
 
 #: Code points of a chunk, code points that neighbours share, and how much both grow where a splice fails.
 CHUNK, OVERLAP, WIDEN = 32_768, 1_024, 4
@@ -29,37 +30,6 @@ CHUNK, OVERLAP, WIDEN = 32_768, 1_024, 4
 MARGIN = 4
 #: Bytes of texts that are encoded at a time.
 PIECE_BYTES = 1 << 20
-_TOKENIZERS: dict[str, object] = {}
-
-
-def _special_tokens(path: str) -> list[str]:
-    """The special strings of a byte-level tokenizer; others are refused, as their words may look back."""
-    with open(path, encoding="utf-8") as file:
-        found = json.load(file)
-    before = found.get("pre_tokenizer") or {}
-    plain = (
-        found.get("normalizer") is None
-        and before.get("type") == "ByteLevel"
-        and not before.get("add_prefix_space")
-        and before.get("use_regex")
-        and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in found.get("added_tokens", []))
-    )
-    if not plain:
-        raise ValueError(f"{path} is not a byte-level tokenizer without normalizer and prefix")
-    return [t["content"] for t in found.get("added_tokens", [])]
-
-
-def _tokenizer(path: str):
-    """One tokenizer for each Python worker, that encodes whole texts in one thread."""
-    if path not in _TOKENIZERS:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        found = Tokenizer.from_file(path)
-        found.no_truncation()
-        found.no_padding()
-        _TOKENIZERS[path] = found
-    return _TOKENIZERS[path]
 
 
 def _pieces(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -72,17 +42,16 @@ def _pieces(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
         start = stop
 
 
-def word_starts(encoding, low: int, high: int) -> dict[int, int]:
+def word_starts(words: list[int | None], offsets: list[tuple[int, int]], low: int, high: int) -> dict[int, int]:
     """Where words start between two offsets, and how many tokens of the chunk come before each."""
     found: dict[int, int] = {}
-    last, stop = None, -1
-    for at, (word, (start, end)) in enumerate(zip(encoding.word_ids, encoding.offsets, strict=True)):
+    for at in range(bisect_left(offsets, low, key=itemgetter(0)), len(offsets)):
+        start = offsets[at][0]
         if start > high:
             break
         # Tokens that share a code point, or go on with a word, are no start. Special tokens have no word.
-        if start >= stop and (word is None or word != last) and low <= start:
+        if not at or start >= offsets[at - 1][1] and (words[at] is None or words[at] != words[at - 1]):
             found.setdefault(start, at)
-        last, stop = word, end
     return found
 
 
@@ -103,13 +72,16 @@ def count_tokens(
     """
     if not 0 < 2 * overlap <= chunk:
         raise ValueError("overlap must be positive and at most half of chunk")
-    margin = max([MARGIN, *(len(s) for s in _special_tokens(tokenizer))])
+    known = Encoder(tokenizer)
+    if not known.byte_level:
+        raise ValueError(f"{tokenizer} is not a byte-level tokenizer without normalizer and prefix")
+    margin = max([MARGIN, *(len(s) for s in known.special)])
     frame = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     kind = dict(frame.dtypes)["doc_id"]
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Counts of short texts; a long one keeps its text and has no count."""
-        encode = _tokenizer(tokenizer).encode_batch_fast
+        ids = encoder(tokenizer).ids
         for batch in batches:
             texts, doc = batch.column("t"), batch.column("doc_id")
             lengths = pc.binary_length(texts)
@@ -117,7 +89,7 @@ def count_tokens(
             for a, b in _pieces(lengths.to_numpy(zero_copy_only=False)):
                 values, flags = texts.slice(a, b - a).to_pylist(), long.slice(a, b - a).to_pylist()
                 short = [v for v, f in zip(values, flags, strict=True) if not f]
-                counts = iter([len(e) for e in encode(short, add_special_tokens=False)])
+                counts = iter([len(i) for i in ids(short)])
                 yield pa.record_batch(
                     [
                         doc.slice(a, b - a),
@@ -167,16 +139,16 @@ def _spliced(texts: DataFrame, tokenizer: str, chunk: int, overlap: int, margin:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each chunk, its part in the pairs before and after it: starts of words and tokens before them."""
-        encoder = _tokenizer(tokenizer)
+        whole = encoder(tokenizer).whole
         for batch in batches:
             columns = [batch.column(i).to_pylist() for i in range(3)]
             for row, k, last, text in zip(*columns, batch.column("c"), strict=True):
-                found = encoder.encode(text.as_py(), add_special_tokens=False)
-                out = []
+                found = whole.encode(text.as_py(), add_special_tokens=False)
+                tokens, out = (found.word_ids, found.offsets), []
                 if k:
-                    out.append((k - 1, 1, word_starts(found, 0, overlap - margin)))
+                    out.append((k - 1, 1, word_starts(*tokens, 0, overlap - margin)))
                 if k < last:
-                    out.append((k, 0, {p - step: n for p, n in word_starts(found, step, chunk - margin).items()}))
+                    out.append((k, 0, {p - step: n for p, n in word_starts(*tokens, step, chunk - margin).items()}))
                 pairs = [(p, side, list(s), list(s.values()), None) for p, side, s in out]
                 if k == last:
                     pairs.append((last, 2, [], [], len(found)))

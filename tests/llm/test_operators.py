@@ -235,13 +235,11 @@ def test_binary_lengths():
         packing.pack_documents(None, TOKENIZER, limit=100)
 
 
-def test_memo_starts_anew(monkeypatch):
-    monkeypatch.setattr(packing, "MEMO_CHUNKS", 5)
-    monkeypatch.setattr(packing, "MEMO_CHARS", 4)
-    tool = packing.ChunkEncoder(TOKENIZER)
-    texts = [prose(i, 30) for i in range(5)]
-    expected = [np.array(e.ids, "<u4").tobytes() for e in tool.tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert [tool.encode([t])[0] for t in texts] == expected
+def test_buckets_hold_equal_lengths(spark, folder):
+    rows = [(i, prose(i, 40 + i), "x", "s", 0) for i in range(20)]
+    pieces = packing.pack_documents(frame(spark, rows), TOKENIZER, limit=64)
+    written = packing.write_buckets(pieces, f"{folder}/buckets")
+    assert written.count() == pieces.count() and written.where("bucket <> length").isEmpty()
 
 
 # ---- 5: language ------------------------------------------------------------------------------
