@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Mapping
 from dataclasses import dataclass, field
@@ -21,6 +22,7 @@ from plumbline.operators.splits import (
     drop_unassigned,
     row_identity,
 )
+from plumbline.plans.ledger import StageLedger
 from plumbline.session import fresh_path
 from plumbline.sources import integrity, scan, sink
 
@@ -61,6 +63,15 @@ class PrepareSettings:
         )
 
 
+    def as_text(self) -> str:
+        """All sections, in an order of their own: equal settings give equal text."""
+        return json.dumps({name: getattr(self, name) for name in (*REQUIRED, "labels")}, sort_keys=True)
+
+    def version(self) -> str:
+        """Names a prepared dataset by its settings alone."""
+        return hashlib.sha256(self.as_text().encode()).hexdigest()
+
+
 class Preparation:
     """Lazy tables of one preparation run; :meth:`write` is the only step that writes."""
 
@@ -68,6 +79,7 @@ class Preparation:
         if not isinstance(settings, PrepareSettings):
             settings = PrepareSettings.from_config(settings)
         self.spark, self.settings = spark, settings
+        self.ledger: StageLedger | None = None
         dataset = settings.dataset
         self.directory = str(dataset["data_dir"])
         self.source = scan.UnifiedSource(
@@ -127,10 +139,15 @@ class Preparation:
             rows_per_file=self.settings.dataset.get("samples_per_file"),
         )
 
-    def _assigned(self, columns: list[str]) -> DataFrame:
+    def _wanted(self, columns: list[str]) -> list[str]:
         keys = [c for c in (self.target, *self.group_columns, self.day_column) if c]
-        wanted = list(dict.fromkeys([*keys, *columns]))
-        table = self._sampled(self._rows(wanted))
+        return list(dict.fromkeys([*keys, *columns]))
+
+    def _assigned(self, columns: list[str]) -> DataFrame:
+        return self.classified(self._sampled(self._rows(self._wanted(columns))))
+
+    def classified(self, table: DataFrame) -> DataFrame:
+        """Label, policy and split of rows of the source, whichever way they were read."""
         raw = (
             labels.canonical_label(F.col(f"`{self.target}`"))
             if self.target
@@ -151,6 +168,15 @@ class Preparation:
             validation_fraction=float(split.get("validation_fraction_of_train_day", 0.15)),
         )
 
+    def from_files(self, files: DataFrame) -> DataFrame:
+        """:meth:`classified` over a frame with the files' own columns, as a stream delivers them.
+
+        Files of one layout only: a stream has one schema.
+        """
+        table = self.source.renamed(files, self._wanted(self.features), self.group_columns)
+        limit = self.settings.dataset.get("samples_per_file")
+        return self.classified(table if limit is None else table.where(F.col(scan.ROW_ID) < int(limit)))
+
     @cached_property
     def narrow(self) -> DataFrame:
         """Label, split and identity of every row; only key columns are read."""
@@ -187,7 +213,12 @@ class Preparation:
 
     @cached_property
     def counts(self) -> DataFrame:
-        """Rows per file, label, policy and split: one narrow scan, kept as a written table."""
+        """Rows per file, label, policy and split: one narrow scan, kept as a written table.
+
+        With a ledger, the table of a run before is read where there is one.
+        """
+        if self.ledger is not None:
+            return self.ledger.stage("counts", lambda: accounting.counted(self.narrow))
         path = fresh_path(self.spark, "class-counts")
         accounting.counted(self.narrow).write.parquet(path)
         return self.spark.read.parquet(path)
@@ -255,32 +286,39 @@ class Preparation:
         files = self.source.files.join(self.source.footers, "path").select(
             "relative_path", F.col("file_rows").alias("rows"), "bytes"
         )
-        text = json.dumps(
-            {
-                name: getattr(self.settings, name)
-                for name in ("dataset", "split", "labels", "preprocessing", "output", "audit")
-            },
-            sort_keys=True,
-        )
-        return integrity.input_fingerprint(files, text, self.features, self.target)
+        return integrity.input_fingerprint(files, self.settings.as_text(), self.features, self.target)
 
     # ---- writing ------------------------------------------------------------------------------
 
     def write(self, path: str) -> dict[str, DataFrame]:
-        """Check, write ``<path>/splits`` and the result tables next to it."""
+        """Check, write ``<path>/splits`` and the result tables next to it.
+
+        What a run before finished below ``path`` is not done again: a whole preparation is read back, a
+        broken one goes on after its last finished stage. A path that holds other settings or inputs is refused.
+        """
         path = path.rstrip("/")
+        self.ledger = ledger = StageLedger(self.spark, path, self.settings.version())
+        finished = ledger.finished()
+        if finished is not None:
+            return finished
+        fingerprint = bounded_lookup(self.fingerprint())
+        ledger.begin(fingerprint.first()["fingerprint"])
         counts = self.preflight()
         inventory = bounded_lookup(self.inventory())
         accounting.sampling_count_check(inventory, fail=True)
         account = bounded_lookup(self.account())
-        leakage = bounded_lookup(self.leakage())
+        leakage = bounded_lookup(ledger.stage("leakage", self.leakage))
         audit.enforce_audit(leakage, self.group_aware, self.settings.audit)
-        written = sink.write_splits(
-            self.prepared(),
-            f"{path}/splits",
-            int(self.settings.output.get("rows_per_part", sink.ROWS_PER_PART)),
-            str(self.settings.output.get("compression", "zstd")),
-        )
+        if ledger.whole("splits"):
+            written = self.spark.read.parquet(f"{path}/splits")
+        else:
+            written = sink.write_splits(
+                self.prepared(),
+                f"{path}/splits",
+                int(self.settings.output.get("rows_per_part", sink.ROWS_PER_PART)),
+                str(self.settings.output.get("compression", "zstd")),
+                mode="overwrite",
+            )
         found = bounded_lookup(
             written.groupBy("_label", F.col("split").cast("string").alias("split")).agg(
                 F.count("*").alias("rows")
@@ -303,10 +341,11 @@ class Preparation:
             "dropped_columns": self.dropped_columns(),
             "features": scan.feature_table(self.spark, self.roles),
             "parts": sink.part_inventory(written, f"{path}/splits"),
-            "fingerprint": self.fingerprint(),
+            "fingerprint": fingerprint,
         }
         for name, table in tables.items():
             sink.export_table(table, f"{path}/{name}", "json")
+        ledger.finish(tables)
         return {"splits": written, **tables}
 
 
@@ -322,5 +361,10 @@ def labels_of(found: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 def prepare_dataset(spark: SparkSession, config: Mapping, output: str) -> dict[str, DataFrame]:
-    """Prepare, audit and write a dataset described by a config mapping."""
-    return Preparation(spark, config).write(output)
+    """Prepare, audit and write a dataset described by a config mapping.
+
+    An output that these settings finished before is read back; its sources need not be there any more.
+    """
+    settings = PrepareSettings.from_config(config)
+    finished = StageLedger(spark, output, settings.version()).finished()
+    return finished if finished is not None else Preparation(spark, settings).write(output)

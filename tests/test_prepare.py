@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.operators.splits import SPLITS
 from plumbline.plans.prepare import Preparation, PrepareSettings, prepare_dataset
 from plumbline.sources import integrity, scan, sink
+from plumbline.streaming.incremental import IncrementalPreparation
 from tests.fixtures import PLAIN, RENAMED, SEASONS, config, sheet, write_sheets
 
 
@@ -114,6 +115,124 @@ def test_rare_class_fails_before_anything_is_written(spark, folder):
     assert not os.path.exists(f"{folder}/out/splits")
 
 
+def plain(table):
+    return sorted(map(repr, table.collect()))
+
+
+def scans(spark, work):
+    """The result of ``work`` and the rows that Spark read from files meanwhile."""
+    tracker, group = spark.sparkContext.statusTracker(), f"scan-{id(work)}"
+    spark.sparkContext.setJobGroup(group, "counted")
+    try:
+        return work(), len(tracker.getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_a_finished_preparation_is_read_back_without_its_sources(spark, folder):
+    source = write_sheets(f"{folder}/in", PLAIN)
+    settings = config(source, dataset={"target_total_rows": 300})
+    first, jobs = scans(spark, lambda: prepare_dataset(spark, settings, f"{folder}/out"))
+    rows, kept = plain(first["splits"]), {n: plain(t) for n, t in first.items() if n not in ("splits", "parts")}
+    os.rename(source, f"{folder}/gone")
+    again, jobs_again = scans(spark, lambda: prepare_dataset(spark, settings, f"{folder}/out"))
+    assert jobs_again <= 3 < jobs
+    assert set(again) == set(first) and plain(again["splits"]) == rows
+    assert {n: plain(again[n]) for n in kept} == kept
+    assert [again[n].dtypes for n in kept] == [first[n].dtypes for n in kept]
+    with pytest.raises(ValueError, match="other settings"):
+        prepare_dataset(spark, config(source), f"{folder}/out")
+
+
+def test_a_killed_preparation_goes_on_after_its_last_stage(spark, folder, monkeypatch):
+    source, out = write_sheets(f"{folder}/in", PLAIN), f"{folder}/out"
+    settings = config(source, dataset={"target_total_rows": 300})
+    whole = plain(prepare_dataset(spark, settings, f"{folder}/whole")["splits"])
+
+    def killed(*_, **__):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as broken:
+        broken.setattr(sink, "write_splits", killed)
+        with pytest.raises(KeyboardInterrupt):
+            prepare_dataset(spark, settings, out)
+    assert not os.path.exists(f"{out}/splits")
+    with monkeypatch.context() as broken:
+        # The narrow passes are done: neither counts nor identities are looked at again.
+        broken.setattr(Preparation, "narrow", property(killed))
+        result = prepare_dataset(spark, settings, out)
+    assert plain(result["splits"]) == whole and account(result)["rows_written"] == 300
+    with monkeypatch.context() as broken:
+        broken.setattr(sink, "write_splits", killed)
+        with pytest.raises(KeyboardInterrupt):
+            prepare_dataset(spark, settings, f"{folder}/other")
+    write_sheets(f"{folder}/in", {"late": {"Sound": 40}})
+    with pytest.raises(ValueError, match="other input files"):
+        prepare_dataset(spark, settings, f"{folder}/other")
+
+
+def even_sheets(folder, names=("one", "two", "three")):
+    """Files of one layout, each with all grades, a repeated tag and a season."""
+    os.makedirs(folder, exist_ok=True)
+    for at, name in enumerate(names):
+        n = 260 + 40 * at
+        grade = [("Sound", "Wormy", "sound ", "Hail")[i % 4] for i in range(n)]
+        tags = [f"t{at}-{i % 4}-{i // 20}" for i in range(n)]
+        weight = [float("inf") if i % 50 == 7 else i / 7 for i in range(n)]
+        frame = pd.DataFrame({"Tag": tags, "Grade": grade, "Weight": weight, "Sugar": [i % 9 * 1.5 for i in range(n)]})
+        frame.to_parquet(f"{folder}/{name}.parquet", index=False)
+    return folder
+
+
+@pytest.mark.parametrize("total", [None, 500])
+def test_incremental_preparation_equals_the_whole_one(spark, folder, total):
+    """Rows, clean features, codes, quotas, account and audit over three files and a restart."""
+    source = even_sheets(f"{folder}/in")
+    settings = config(source, dataset={"target_total_rows": total}, labels={"open_set_labels": ["Hail"]})
+    whole = prepare_dataset(spark, settings, f"{folder}/whole")
+    step = IncrementalPreparation.of(Preparation(spark, settings), f"{folder}/step")
+    calls, batch = [], step._batch
+
+    def broken(rows, number):
+        calls.append(number)
+        if len(calls) == 3:
+            raise RuntimeError("lost")
+        batch(rows, number)
+
+    step._batch = broken
+    with pytest.raises(Exception, match="lost"):
+        step.run()
+    done = IncrementalPreparation.of(Preparation(spark, settings), f"{folder}/step").run()
+    assert len(calls) == 3 and done.progress().count() == 3
+    columns = ["Sugar", "Weight", scan.FILE_ID, scan.ROW_ID, "_label", F.col("split").cast("string").alias("split")]
+    left, right = done.splits().select(*columns), whole["splits"].select(*columns)
+    assert left.exceptAll(right).isEmpty() and right.exceptAll(left).isEmpty()
+    tables = done.close()
+    for name in ("label_mapping", "row_account", "source_inventory", "leakage_audit", "open_set_labels"):
+        both = [c for c in whole[name].columns if c in tables[name].columns]
+        assert plain(tables[name].select(*both)) == plain(whole[name].select(*both)), name
+    if total is None:
+        with pytest.raises(ValueError, match="other inputs or settings"):
+            IncrementalPreparation.of(Preparation(spark, {**settings, "labels": {}}), f"{folder}/step").run()
+
+
+def test_codes_stay_while_the_dictionary_grows(spark, folder):
+    source = even_sheets(f"{folder}/in", ["first"])
+    settings = config(source, split={"require_all_classes_each_split": False})
+    done = IncrementalPreparation.of(Preparation(spark, settings), f"{folder}/out").run()
+    before = {r["label"]: r["code"] for r in done.dictionary().collect()}
+    assert before == {"Hail": 0, "Sound": 1, "Wormy": 2, "sound": 3}
+    frame = pd.read_parquet(f"{source}/first.parquet")
+    frame["Grade"] = ["Blight" if i % 2 else "Wormy" for i in range(len(frame))]
+    frame.to_parquet(f"{source}/second.parquet", index=False)
+    done = IncrementalPreparation.of(Preparation(spark, settings), f"{folder}/out").run()
+    assert {r["label"]: r["code"] for r in done.dictionary().collect()} == {**before, "Blight": 4}
+    coded = done.splits().select("label", "_label").distinct().collect()
+    assert {r["label"]: r["_label"] for r in coded} == {**before, "Blight": 4}
+    # The second file repeats the groups of the first, which hash alike: the audit over both still passes.
+    assert done.close()["row_account"].first()["balanced"]
+
+
 def test_covered_classes_pass(spark, folder):
     source = write_sheets(f"{folder}/in", {"all": {"Sound": 350, "Hail": 170}})
     result = prepare_dataset(spark, config(source), f"{folder}/out")
