@@ -234,7 +234,8 @@ _VALIDATION = f"{SCORED}, {_per_class_sql(where=chr(39).join(['split = ', 'valid
 @catalog.query(
     "validation_scores",
     f"""WITH {_VALIDATION} SELECT class, support, {r('recall')} AS recall, {r('avg(f1) OVER ()')} AS macro_f1,
-    {r('avg(recall) OVER ()')} AS balanced_accuracy, (sum(support) OVER ())::BIGINT AS rows_scored FROM per_class""",
+    {r('avg(recall) OVER ()')} AS balanced_accuracy, (sum(support) OVER ())::BIGINT AS rows_scored,
+    (sum(support) OVER ())::BIGINT AS rows_available FROM per_class""",
 )
 def validation_scores(spark, sf_dir):
     return rounded(metrics.validation_scores(vectors(spark, sf_dir), N_VECTOR_CLASSES))
@@ -652,10 +653,9 @@ MONITOR_SHARE = 2
 )
 def monitor_set(spark, sf_dir):
     """A stratified half of the held-out split, never used for selection."""
-    held = vectors(spark, sf_dir).where(F.col("split") == "test")
-    metrics.mixed_open_set(held, fail=True)
-    budget = held.count() // MONITOR_SHARE
-    picked = sampling.stratified_sample(held, "y_true", budget, F.col("vec_id"), SEED)
+    scored = vectors(spark, sf_dir)
+    budget = scored.where(F.col("split") == "test").count() // MONITOR_SHARE
+    picked = metrics.monitor_set(scored, budget, F.col("vec_id"), seed=SEED)
     return metrics.with_prediction(picked).select("vec_id", "y_true", "y_pred")
 
 

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.functions.checks import guard
+from plumbline.operators.sampling import stratified_sample
+from plumbline.operators.splits import SPLITS
 
 FLOAT32_EPS = 1.1920929e-07  # fixed value: machine epsilon of float32
 ENTROPY_FLOOR = 1e-12  # fixed value: smallest probability inside a logarithm
@@ -299,14 +301,31 @@ def mixed_open_set(scored: DataFrame, fail: bool = False) -> DataFrame:
     return guard(mixed, fail, "The test split mixes open-set and labelled rows")
 
 
-def validation_scores(scored: DataFrame, n_classes: int, fail: bool = True) -> DataFrame:
-    """Macro F1, balanced accuracy and per-class recall of the validation split only."""
+def validation_scores(
+    scored: DataFrame,
+    n_classes: int,
+    fail: bool = True,
+    maximum_rows: int = 0,
+    seed: int = 2026,
+    identity: Column | None = None,
+) -> DataFrame:
+    """Macro F1, balanced accuracy and per-class recall of the validation split only.
+
+    ``maximum_rows`` scores a class-proportional sample with at least one row per class, the rows of the
+    smallest seeded hash of ``identity``; 0 scores all. ``rows_available`` counts the split, ``rows_scored`` what was scored.
+    """
     rows = scored.where(F.col("split") == "validation")
     opened = rows.where(F.col("y_true") < 0).agg(F.count("*").alias("rows"))
     guard(opened.where(F.col("rows") > 0), fail, "The validation split contains open-set rows")
-    per_class = per_class_metrics(rows.where(F.col("y_true") >= 0), n_classes)
+    rows = rows.where(F.col("y_true") >= 0)
+    drawn = rows
+    if maximum_rows > 0:
+        if identity is None:
+            raise ValueError("A sample of validation needs the identity of its rows")
+        drawn = stratified_sample(rows, "y_true", maximum_rows, identity, seed)
+    per_class = per_class_metrics(drawn, n_classes)
     whole = Window.partitionBy()
-    return per_class.select(
+    table = per_class.select(
         "class",
         "support",
         "recall",
@@ -314,3 +333,34 @@ def validation_scores(scored: DataFrame, n_classes: int, fail: bool = True) -> D
         F.avg("recall").over(whole).alias("balanced_accuracy"),
         F.sum("support").over(whole).alias("rows_scored"),
     )
+    available = F.col("rows_scored") if drawn is rows else F.lit(rows.count()).cast("bigint")
+    return table.withColumn("rows_available", available)
+
+
+RESERVED_SETS = ("train", "val", "validation", "training", "valid", "test")
+
+
+def monitor_set(
+    rows: DataFrame,
+    maximum_rows: int,
+    identity: Column,
+    split: str = "test",
+    name: str = "monitor",
+    label: str = "y_true",
+    seed: int = 2026,
+) -> DataFrame:
+    """A class-proportional sample of a split that a training run watches and never selects by, with its ``eval_set``.
+
+    The name must not be that of a set the run has anyway. A split that holds open-set rows, all or some, is refused:
+    they have no label to score against.
+    """
+    if split not in SPLITS:
+        raise ValueError(f"Unknown split {split!r}")
+    if not name or name.lower() in RESERVED_SETS:
+        raise ValueError(f"{name!r} is not a name for a monitored set")
+    if maximum_rows <= 0:
+        raise ValueError("The row budget of a monitored set must be positive")
+    watched = rows.where(F.col("split") == split)
+    opened = watched.agg(F.count_if(F.col(label) < 0).alias("open_set_rows")).where(F.col("open_set_rows") > 0)
+    guard(opened, True, f"The {split} split holds open-set rows and cannot be monitored")
+    return stratified_sample(watched, label, maximum_rows, identity, seed).withColumn("eval_set", F.lit(name))

@@ -1,11 +1,10 @@
 """Exact, repeatable samples.
 
 A sample is a hash cut-off per stratum, so the wide rows never move: the last step is a
-filter over the source. The cut-off is found without sorting a stratum. Hashes are uniform,
-so for n rows and a quota q the q-th smallest hash lies within a few standard deviations of
-q/n. Only that band is ranked, about sqrt(n) rows even for the largest stratum, and the rows
-below it are only counted. A stratum whose cut-off is not inside its band is tried again
-with a wider one, in the end with all of [0, 1), so the result is exact in every case.
+filter over the source. The cut-off is found by radix selection, without sorting a stratum: a histogram of
+hash prefixes, as long as the stratum's size asks for, says in which bucket the last sampled row lies
+and how many rows come before it; only that bucket is ranked. Two narrow scans, whatever the number of
+strata, and exact however the hashes fall.
 """
 
 from __future__ import annotations
@@ -19,11 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.functions.hashing import UNIT, seeded_hash
-from plumbline.functions.lookup import bounded_lookup, bounded_rows
+from plumbline.functions.hashing import seeded_hash
+from plumbline.functions.lookup import bounded_rows, small_side
+from plumbline.session import written
 
-START_SIGMAS = 6.0
-EVERYTHING = 1e15  # standard deviations after which a band must cover all of [0, 1)
+#: Rows of a stratum in one bucket of hash prefixes (about), and hex digits of a prefix at most.
+ROWS_PER_BUCKET, PREFIX_DIGITS = 65_536, 12
 
 
 # ---- how many rows of each stratum ------------------------------------------------------------
@@ -32,27 +32,39 @@ EVERYTHING = 1e15  # standard deviations after which a band must cover all of [0
 def proportional_quotas(sizes: DataFrame, key: str, target: int, rows: str = "rows") -> DataFrame:
     """Exact total by largest remainder in integer arithmetic; ties go to the smaller key.
 
-    ``sizes`` has one row per file or class.
+    ``sizes`` has one row per file or class, any number of them. Totals are two numbers. The keys that get one
+    row more are the first ones by remainder and key: keys are sorted in ranges, and the counts of the ranges, one number
+    for each partition, say in which of them and where the last one stands.
     """
     if target <= 0:
         raise ValueError("The target row count must be positive")
     big = "decimal(38,0)"
-    everything = Window.partitionBy()
-    total = F.sum(F.col(rows).cast(big)).over(everything).cast(big)
-    wanted = F.least(F.lit(target).cast(big), F.col("_total"))
-    product = (F.col("_target") * F.col(rows).cast("decimal(19,0)")).cast(big)
-    by_remainder = Window.orderBy(F.desc("_remainder"), F.asc(key))
-    return (
-        sizes.withColumn("_total", total)
-        .withColumn("_target", wanted.cast("decimal(19,0)"))
-        .withColumn("_product", product)
-        .withColumn("_remainder", F.col("_product") % F.col("_total"))
-        .withColumn("_floor", ((F.col("_product") - F.col("_remainder")) / F.col("_total")).cast(big))
-        .withColumn("_left", F.col("_target") - F.sum("_floor").over(everything))
-        .withColumn("_extra", (F.row_number().over(by_remainder) <= F.col("_left")).cast("int"))
-        .withColumn("quota", (F.col("_floor") + F.col("_extra")).cast("bigint"))
-        .drop("_total", "_target", "_product", "_remainder", "_floor", "_left", "_extra")
+    total = int(sizes.agg(F.sum(F.col(rows).cast(big))).first()[0] or 0)
+    wanted = min(target, total)
+    if not total:
+        return sizes.withColumn("quota", F.lit(0).cast("bigint"))
+    product = (F.lit(wanted).cast("decimal(19,0)") * F.col(rows).cast("decimal(19,0)")).cast(big)
+    whole = F.lit(total).cast(big)
+    remainder = F.col("_product") % whole
+    shared = (
+        sizes.withColumn("_product", product)
+        .withColumn("_remainder", remainder)
+        .withColumn("_floor", ((F.col("_product") - F.col("_remainder")) / whole).cast(big))
+        .drop("_product")
     )
+    order = [F.desc("_remainder"), F.asc(key)]
+    ranged = shared.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = written(ranged.withColumn("_at", F.monotonically_increasing_id()), "remainders")
+    part = F.shiftright("_at", 33).alias("part")
+    counts = ranged.groupBy(part).agg(F.count("*").alias("n"), F.sum("_floor").alias("floor")).collect()
+    left, last = wanted - sum(int(r["floor"]) for r in counts), -1
+    for r in sorted(counts, key=lambda r: r["part"]):
+        if left <= 0:
+            break
+        taken = min(left, r["n"])
+        last, left = (r["part"] << 33) + taken - 1, left - taken
+    extra = (F.col("_at") <= F.lit(last)).cast("int")
+    return ranged.withColumn("quota", (F.col("_floor") + extra).cast("bigint")).drop("_remainder", "_floor", "_at")
 
 
 def sampling_plan(
@@ -159,58 +171,46 @@ def draw(
 
 def _join_strata(frame: DataFrame, table: DataFrame, strata: list[str], how: str = "inner") -> DataFrame:
     """Join a table of one row per stratum; a NULL stratum is a stratum like any other."""
-    renamed = table.select(
-        *[F.col(s).alias(f"_of_{s}") for s in strata], *[c for c in table.columns if c not in strata]
-    )
+    renamed = table.withColumnsRenamed({s: f"_of_{s}" for s in strata})
     same = reduce(Column.__and__, [F.col(s).eqNullSafe(F.col(f"_of_{s}")) for s in strata])
-    return frame.join(bounded_lookup(renamed), same, how).drop(*[f"_of_{s}" for s in strata])
-
-
-def _hex(fraction: Column, round_up: bool) -> Column:
-    scaled = fraction * F.lit(float(UNIT))
-    number = (F.ceil(scaled) if round_up else F.floor(scaled)).cast("bigint")
-    # 'g' sorts after every hex digit: an open upper end.
-    return F.when(number >= UNIT, F.lit("g")).otherwise(F.lower(F.lpad(F.hex(number), 8, "0")))
+    return frame.join(renamed, same, how).drop(*[f"_of_{s}" for s in strata])
 
 
 def _cut_offs(narrow: DataFrame, strata: list[str], quotas: DataFrame) -> DataFrame:
     """(strata, _cut): the largest hash that still belongs to the sample."""
-    wanted = bounded_lookup(quotas.select(*strata, "rows", "quota").where(F.col("quota") > 0))
+    # As many hex digits as give buckets of about ROWS_PER_BUCKET rows.
+    digits = F.ceil(F.log(16.0, F.greatest(F.col("rows") / ROWS_PER_BUCKET, F.lit(1.0))))
+    wanted = small_side(
+        quotas.where(F.col("quota") > 0).select(
+            *strata, "rows", "quota", F.least(digits, F.lit(PREFIX_DIGITS)).cast("int").alias("_digits")
+        ),
+        "quotas",
+    )
     whole = wanted.where(F.col("quota") >= F.col("rows")).select(*strata, F.lit("g").alias("_cut"))
-    part = wanted.where(F.col("quota") < F.col("rows"))
-    found, sigmas = whole, START_SIGMAS
+    part = wanted.where(F.col("quota") < F.col("rows")).select(*strata, "quota", "_digits")
+    bucket = F.expr("substring(_hash, 1, _digits)").alias("_bucket")
+    found = _join_strata(narrow, part, strata).groupBy(*strata, "quota", "_digits", bucket).agg(F.count("*").alias("_n"))
+    upto = Window.partitionBy(*strata).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    border = small_side(
+        found.withColumn("_upto", F.sum("_n").over(upto))
+        .where((F.col("_upto") >= F.col("quota")) & (F.col("_upto") - F.col("_n") < F.col("quota")))
+        .select(*strata, "_digits", "_bucket", (F.col("quota") - F.col("_upto") + F.col("_n")).alias("_rank")),
+        "border",
+    )
+    inside = _join_strata(narrow, border, strata).where(F.expr("substring(_hash, 1, _digits)") == F.col("_bucket"))
+    in_order = Window.partitionBy(*strata).orderBy("_hash")
     repeated = F.raise_error(F.lit("A sample needs identities that do not repeat inside a stratum")).cast("string")
-    while not part.isEmpty():
-        share = F.col("quota") / F.col("rows")
-        half = F.lit(sigmas) * F.sqrt(share * (1 - share) / F.col("rows"))
-        bands = part.withColumn(
-            "_low", _hex(F.greatest(share - half, F.lit(0.0)), round_up=False)
-        ).withColumn("_high", _hex(F.least(share + half, F.lit(1.0)), round_up=True))
-        placed = _join_strata(narrow, bands, strata)
-        below = placed.groupBy(*strata).agg(
-            F.count_if(F.col("_hash") < F.col("_low")).alias("_below")
-        )
-        ranked = placed.where((F.col("_hash") >= F.col("_low")) & (F.col("_hash") < F.col("_high")))
-        in_order = Window.partitionBy(*strata).orderBy("_hash")
-        cuts = (
-            _join_strata(
-                ranked.select(*strata, "quota", "_hash")
-                .withColumn("_position", F.row_number().over(in_order))
-                .withColumn("_upto", F.count("*").over(in_order)),
-                below,
-                strata,
-            )
-            .where(F.col("_position") + F.col("_below") == F.col("quota"))
-            .withColumn("_cut", F.when(F.col("_upto") == F.col("_position"), F.col("_hash")).otherwise(repeated))
-            .select(*strata, "_cut")
-        )
-        cuts = bounded_lookup(cuts)
-        found = found.unionByName(cuts)
-        part = bounded_lookup(_join_strata(part, cuts.select(*strata), strata, "left_anti"))
-        if sigmas > EVERYTHING:
-            raise ValueError("The quota table does not describe the rows it is applied to")
-        sigmas = sigmas * 16
-    return found
+    cuts = (
+        inside.withColumn("_position", F.row_number().over(in_order))
+        .withColumn("_rows_upto", F.count("*").over(in_order))
+        .where(F.col("_position") == F.col("_rank"))
+        .withColumn("_cut", F.when(F.col("_rows_upto") == F.col("_position"), F.col("_hash")).otherwise(repeated))
+        .select(*strata, "_cut")
+    )
+    cuts = small_side(cuts.unionByName(whole), "cuts")
+    if not _join_strata(wanted.select(*strata), cuts, strata, "left_anti").isEmpty():
+        raise ValueError("The quota table does not describe the rows it is applied to")
+    return cuts
 
 
 def exact_sample(

@@ -309,3 +309,34 @@ def test_classification_report_lines(spark):
     assert lines["macro avg"]["recall"] == pytest.approx(recall.mean())
     assert lines["weighted avg"]["f1"] == pytest.approx((f1 * support).sum() / support.sum())
     assert lines["0"]["support"] == 30
+
+
+def split_scores(spark, opened=0):
+    rows = [(i, "validation" if i % 3 else "test", i % 4 % 3, [0.6, 0.3, 0.1] if i % 5 else [0.1, 0.2, 0.7]) for i in range(400)]
+    rows += [(1000 + i, "test", -1, [0.5, 0.3, 0.2]) for i in range(opened)]
+    return spark.createDataFrame(rows, "row long, split string, y_true int, y_prob array<float>")
+
+
+def test_validation_scores_of_a_sample(spark):
+    scored = split_scores(spark)
+    whole = metrics.validation_scores(scored, 3).collect()
+    held = scored.where("split = 'validation'").count()
+    assert {(r["rows_scored"], r["rows_available"]) for r in whole} == {(held, held)}
+    sample = metrics.validation_scores(scored, 3, maximum_rows=50, seed=4, identity=F.col("row")).collect()
+    assert {(r["rows_scored"], r["rows_available"]) for r in sample} == {(50, held)}
+    again = metrics.validation_scores(scored.repartition(7), 3, maximum_rows=50, seed=4, identity=F.col("row")).collect()
+    assert sorted(sample) == sorted(again) and min(r["support"] for r in sample) >= 1
+    with pytest.raises(ValueError, match="identity"):
+        metrics.validation_scores(scored, 3, maximum_rows=50)
+
+
+def test_monitored_sets(spark):
+    scored = split_scores(spark)
+    got = metrics.monitor_set(scored, 40, F.col("row"), name="otherday").collect()
+    assert len(got) == 40 and {r["eval_set"] for r in got} == {"otherday"} and {r["split"] for r in got} == {"test"}
+    for wrong in ({"name": "val"}, {"name": ""}, {"split": "holdout"}, {"maximum_rows": 0}):
+        with pytest.raises(ValueError):
+            metrics.monitor_set(scored, **{"maximum_rows": 40, "identity": F.col("row"), **wrong})
+    with pytest.raises(ValueError, match="open-set"):
+        metrics.monitor_set(split_scores(spark, opened=3), 40, F.col("row"))
+    assert metrics.monitor_set(split_scores(spark, opened=3), 40, F.col("row"), split="validation").count() == 40

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -5,6 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plumbline.functions import lookup
 from plumbline.functions.hashing import seeded_hash
 from plumbline.functions.text import canonical_text
 from plumbline.operators import sampling
@@ -16,8 +19,8 @@ def quotas_of(spark, sizes, target):
 
 
 def test_largest_remainder(spark):
-    assert quotas_of(spark, {"a": 900, "b": 600, "c": 300}, 1000) == {"a": 500, "b": 333, "c": 167}
-    assert quotas_of(spark, {"a": 900, "b": 600, "c": 300}, 900) == {"a": 450, "b": 300, "c": 150}
+    assert quotas_of(spark, {"a": 7, "b": 5, "c": 2}, 10) == {"a": 5, "b": 4, "c": 1}
+    assert quotas_of(spark, {"a": 70, "b": 50, "c": 20}, 70) == {"a": 35, "b": 25, "c": 10}
     assert quotas_of(spark, {"a": 1, "b": 1, "c": 1}, 2) == {"a": 1, "b": 1, "c": 0}
     assert quotas_of(spark, {"a": 2, "b": 3}, 100) == {"a": 2, "b": 3}
     huge = quotas_of(spark, {"a": 4 * 10**12, "b": 3 * 10**12}, 10**12)
@@ -26,10 +29,33 @@ def test_largest_remainder(spark):
         quotas_of(spark, {"a": 1}, 0)
 
 
+@pytest.mark.parametrize("files", [1, 40, 3_000])
+def test_quotas_of_many_files_equal_one_sorted_list(spark, files):
+    """Random sizes, half of them alike, so that remainders tie."""
+    rng = random.Random(files)
+    sizes = {f"f{i:05d}": 12 if i % 2 else rng.randint(0, 900) for i in range(files)}
+    total = sum(sizes.values())
+    for target in (1, total // 3, total + 5):
+        if not target:
+            continue
+        wanted = min(target, total)
+        order = sorted(sizes, key=lambda f: (-(wanted * sizes[f] % total), f))
+        expected = {f: wanted * n // total for f, n in sizes.items()}
+        for f in order[: wanted - sum(expected.values())]:
+            expected[f] += 1
+        assert quotas_of(spark, sizes, target) == expected
+
+
+def test_quotas_need_no_single_partition(spark):
+    rows = spark.range(500).selectExpr("cast(id AS string) AS path", "id % 7 AS rows")
+    plan = sampling.proportional_quotas(rows, "path", 100)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "Window" not in plan
+
+
 def test_plan_modes(spark):
-    rows = spark.createDataFrame([("a", 900), ("b", 10)], "path string, rows bigint")
+    rows = spark.createDataFrame([("a", 640), ("b", 10)], "path string, rows bigint")
     plan = lambda **k: {r["path"]: r["planned_rows"] for r in sampling.sampling_plan(rows, "path", **k).collect()}
-    assert plan() == {"a": 900, "b": 10}
+    assert plan() == {"a": 640, "b": 10}
     assert plan(samples_per_file=50) == {"a": 50, "b": 10}
     assert sum(plan(target_total_rows=91).values()) == 91
     with pytest.raises(ValueError):
@@ -39,8 +65,8 @@ def test_plan_modes(spark):
 
 
 def test_stratified_quotas():
-    quotas = sampling.stratified_quotas({0: 10_000, 1: 1_000, 2: 3}, 1_000)
-    assert sum(quotas.values()) == 1_000 and min(quotas.values()) >= 1
+    quotas = sampling.stratified_quotas({0: 8_200, 1: 770, 2: 4}, 640)
+    assert sum(quotas.values()) == 640 and min(quotas.values()) >= 1
     assert sampling.stratified_quotas({0: 5, 1: 5}, 10) == {0: 5, 1: 5}
     with pytest.raises(ValueError):
         sampling.stratified_quotas({0: 5, 1: 5, 2: 5}, 2)
@@ -81,10 +107,12 @@ def brute_force(rows, stratum, quotas, seed):
     return rows.withColumn("n", F.row_number().over(order)).join(quotas, stratum).where("n <= quota").select("id")
 
 
-@pytest.mark.parametrize("sigmas", [6.0, 0.01])
-def test_draw_equals_a_full_sort(spark, monkeypatch, sigmas):
-    """Also when the first band is far too narrow and has to be widened."""
-    monkeypatch.setattr(sampling, "START_SIGMAS", sigmas)
+@pytest.mark.parametrize("rows_per_bucket", [65_536, 40, 1])
+def test_draw_equals_a_full_sort(spark, monkeypatch, rows_per_bucket):
+    """With whole strata as buckets, with prefixes of several digits, and where the tables are too large to broadcast."""
+    monkeypatch.setattr(sampling, "ROWS_PER_BUCKET", rows_per_bucket)
+    if rows_per_bucket == 1:
+        monkeypatch.setattr(lookup, "SMALL_BYTES", 0)
     rows = skewed(spark)
     sizes = rows.groupBy("stratum").agg(F.count("*").alias("rows"))
     quotas = sampling.proportional_quotas(sizes, "stratum", 4_321)
