@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.frames import stored
+from plumbline.llm.frames import discard, stored
 
 
 def _state(links: DataFrame) -> tuple:
@@ -44,9 +44,10 @@ def connected(links: DataFrame) -> DataFrame:
             .where(F.col("lo") != F.col("least"))
             .select(F.col("lo").alias("hi"), F.col("least").alias("lo"))
         )
-        current = stored(
+        last, current = current, stored(
             small.unionByName(hung.select(F.col("node").alias("hi"), F.col("least").alias("lo"))).distinct(), "links"
         )
+        discard(last)
         after = _state(current)
         if after == before:
             break

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -24,17 +23,18 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     spark = frame.sparkSession
     path = fresh_path(spark, name)
     frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
-
+    found = spark.read.schema(frame.schema).parquet(path)
+    found.stored_path = path
+    return found
 
-def freed(frame: DataFrame) -> DataFrame:
-    """The frame, after Spark was told to drop the shuffle files of frames that are no longer used.
 
-    They stay on the executors' disks until the driver collects its garbage, which it may not do for long.
-    """
-    gc.collect()
-    frame.sparkSession._jvm.System.gc()
-    return frame
+def discard(frame: DataFrame) -> None:
+    """Delete the files of a frame that :func:`stored` made, once all that was read from it is written elsewhere."""
+    path = getattr(frame, "stored_path", None)
+    if path is not None:
+        spark = frame.sparkSession
+        location = spark._jvm.org.apache.hadoop.fs.Path(path)
+        location.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(location, True)
 
 
 #: Up to how many bytes of Parquet a table is sent to every executor.

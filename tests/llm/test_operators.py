@@ -350,7 +350,7 @@ def test_every_pair_of_a_large_bucket_is_compared(spark, monkeypatch):
         if 100 * len(sets[i] & sets[j]) >= lines.PERCENT * len(sets[i] | sets[j])
     ]
     expected = Counter(Counter(components(texts, links, list(range(len(texts))))).values())
-    monkeypatch.setattr(lines, "signatures", lambda units, size: units.select("node", F.array(F.lit(7).cast("long")).alias("bands")))
+    monkeypatch.setattr(lines, "signatures", lambda units, size: units.groupBy("node").agg(F.min("at").alias("at"), F.array(F.lit(7).cast("long")).alias("bands")))
     occurrences = lines.line_occurrences(frame(spark, list(enumerate(texts))))
     for tile in (lines.TILE, 60):
         monkeypatch.setattr(lines, "TILE", tile)
@@ -372,7 +372,7 @@ def test_bands_find_similar_pairs_of_any_length(spark):
                 wanted[length] += 1
                 rows += [(2 * len(rows), text, length, pair), (2 * len(rows) + 1, other, length, pair)]
     units = spark.createDataFrame(rows, "node long, norm string, length int, pair int")
-    banded = lines.signatures(units.select("node", "norm")).select("node", F.explode("bands").alias("band"))
+    banded = lines.signatures(units.select("node", "norm", F.col("node").alias("at"))).select("node", F.explode("bands").alias("band"))
     met = units.join(banded, "node").groupBy("length", "pair", "band").agg(F.countDistinct("node").alias("n")).where("n = 2")
     found = Counter(r["length"] for r in met.select("length", "pair").distinct().collect())
     shares = {length: found[length] / n for length, n in wanted.items()}
