@@ -16,7 +16,7 @@ from plumbline.functions.numeric import clean_float
 from plumbline.functions.text import key_text
 from plumbline.operators import accounting, audit, labels, sampling
 from plumbline.operators.splits import (
-    check_day_roles,
+    CaptureDays,
     check_ratios,
     check_strategy,
     drop_unassigned,
@@ -57,7 +57,7 @@ class PrepareSettings:
         self.seed = int(self.split["seed"])
         self.sampling_seed = int(self.dataset.get("sampling_seed") or self.seed)
         self.roles = (
-            check_day_roles(self.split.get("capture_day_assignment") or {})
+            CaptureDays.of(self.split.get("capture_day_assignment"))
             if self.strategy == "by_capture_day"
             else None
         )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.lookup import bounded_lookup
 from plumbline.operators import curves, metrics
+from plumbline.session import written
 from plumbline.sources.sink import export_table
 
 
@@ -78,9 +79,12 @@ def report_tables(
 ) -> dict[str, DataFrame]:
     """Every table of the final report. ``names`` is (class, name).
 
-    A table of withheld classes gets the open-set tables; a mixed one is refused. Curves are of all rows:
+    Only y_true and y_prob of ``scored`` are read. A table of withheld classes gets the open-set tables; a mixed one
+    is refused. Curves are of all rows:
     thin them afterwards with :func:`plumbline.operators.curves.thin_curve`.
     """
+    # The rows are scored once; every table reads what was written.
+    scored = written(scored.select("y_true", "y_prob"), "report-scores")
     metrics.mixed_open_set(scored, fail=True)
     if scored.where(F.col("y_true") < 0).limit(1).count():
         spread = metrics.open_set_distribution(scored, n_classes)
