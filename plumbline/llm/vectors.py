@@ -114,7 +114,7 @@ def near_vectors(
 ) -> DataFrame:
     """Per row: vec_id, n_links, component_id, kept.
 
-    Vectors of one label and length link when they share a leaf and their cosine, in doubles, is at least
+    Vectors of one label (of any type) and length link when they share a leaf and their cosine, in doubles, is at least
     ``least``. A vector that is null, zero, or holds a null or non-finite component, and one without a
     label, links with nothing. Equal vectors form a class that is compared once; each of its rows links
     with the others. Rows of equal id are vectors of their own. ``component_id`` is the smallest id that
@@ -127,7 +127,8 @@ def near_vectors(
         vectors.select(
             F.monotonically_increasing_id().alias("row"),
             F.col(vec_id).alias("vec_id"),
-            F.col(label).cast("long").alias("label"),
+            # Labels of any type are only ever compared: 64 bits of their hash stand for them.
+            F.when(F.col(label).isNotNull(), F.xxhash64(F.col(label))).alias("label"),
             F.transform(F.col(embedding).cast("array<double>"), lambda x: x + F.lit(0.0)).alias("embedding"),
         )
         .withColumn("usable", F.coalesce(usable, F.lit(False)))

@@ -1,6 +1,7 @@
 """Whitening, the Merkle manifest, token counts and passage units against plain Python."""
 
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from plumbline.llm import merkle, passages, tokens, vocabulary, whitening
+from plumbline.llm import merkle, passages, quality, tokens, vectors, vocabulary, whitening
 from plumbline.llm.vocabulary import Encoder
 from tests.llm.fixtures import FOLD, WORD, frame, odd_rows, prose
 
@@ -328,3 +329,51 @@ def test_planted_passages_go_whatever_surrounds_them(spark):
     again = {r["doc_id"]: [tuple(s) for s in r["removed"]] for r in passages.without_repeats(docs).collect()}
     start = texts[1].index(one.upper())
     assert again[1] == [(start, start + len(one))] and again[0] == []
+
+
+# ---- 2 and 6: what had no plain version ---------------------------------------------------------
+
+
+def _plain_statistics(text):
+    text = text or ""
+    words = WORD.findall(text)
+    folded = [w.translate(FOLD) for w in words]
+    count, characters = max(1, len(words)), max(1, sum(map(len, words)))
+    grams = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+    again = {i + k for i in range(len(words) - 2) if grams[tuple(words[i : i + 3])] > 1 for k in range(3)}
+    octets = text.encode()
+    letters = [b for b in octets if chr(b).isascii() and chr(b).isalpha()]
+    capitals = [b for b in letters if chr(b).isupper()]
+    symbols = sum(text.count(c) for c in "#*$%&|<>")
+    plain = set(range(128, 256)) | {ord(c) for c in " \t\n\r.,;:'-0123456789"} | set(range(65, 91)) | set(range(97, 123))
+    logit = lambda share: math.log((s := min(max(share, 1e-3), 1 - 1e-3)) / (1 - s))
+    return [
+        math.log1p(len(words)),
+        math.log(min(max(characters / count, 1), 30)),
+        logit(symbols / (count + symbols)),
+        logit(len(capitals) / max(1, len(letters))),
+        logit(len(again) / count),
+        logit(sum(a == b for a, b in zip(folded, folded[1:], strict=False)) / count),
+        logit(text.count("!") / (count + 1)),
+        math.log(len(set(folded)) / math.sqrt(count) + 0.1),
+        logit(sum(b not in plain for b in octets) / characters),
+    ]
+
+
+def test_quality_statistics_equal_plain_python(spark):
+    texts = ["", None, "One", "SHOUT shout Shout! really!! $$$ <b>", "a b c a b c a b c", "é è ü. Ñandú, 12 {odd} @you", "x\n\n y\ty"]
+    texts += [prose(i, 5 + 7 * i, "aeilmnorstu.!#AB{") for i in range(30)] + [r[1] for r in odd_rows()]
+    docs = frame(spark, [(i, t) for i, t in enumerate(texts)])
+    found = {r["doc_id"]: r["x"] for r in quality.statistics(docs).collect()}
+    for at, text in enumerate(texts):
+        assert np.allclose(found[at], _plain_statistics(text), atol=1e-9), (at, found[at], _plain_statistics(text))
+
+
+def test_near_vectors_take_labels_of_any_type_and_clashing_names(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(6, 8))
+    rows = [(i, [float(x) for x in base[i % 6] + 0.01 * rng.normal(size=8)], i % 2 if i % 7 else None) for i in range(60)]
+    numbers = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    words = numbers.selectExpr("vec_id", "embedding", "concat('l', label) AS label", "1 AS row", "2 AS d1", "'x' AS usable", "3 AS unit")
+    one, two = (sorted(map(tuple, vectors.near_vectors(f).collect())) for f in (numbers, words))
+    assert one == two and len({r[2] for r in one}) < 60
