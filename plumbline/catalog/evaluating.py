@@ -48,7 +48,7 @@ def _embeddings(spark, sf_dir) -> DataFrame:
     return rows.withColumn("split", hash_split(F.col("vec_id"), RATIOS, SEED))
 
 
-def vectors(spark, sf_dir, scale=SCALE, dims: int | None = None, open_class: int | None = None):
+def vectors(spark, sf_dir, scale=SCALE, open_class: int | None = None):
     """(vec_id, split, y_true, y_prob) of every embedding, by the class means of the train split.
 
     A withheld class is not part of the model and is -1 in y_true.
@@ -59,17 +59,17 @@ def vectors(spark, sf_dir, scale=SCALE, dims: int | None = None, open_class: int
     if open_class is not None:
         trained = trained.where(label != open_class)
         label = F.when(label == open_class, -1).otherwise(label)
-    model = CentroidModel.fit_vectors(trained, "embedding", dims=dims)
+    model = CentroidModel.fit_vectors(trained, "embedding")
     scored = model.score_vectors(rows, "embedding", scale)
     return scored.select("vec_id", "split", label.alias("y_true"), "y_prob")
 
 
-def _scored_sql(dims: int = 64, where: str = "true", scale: str = str(SCALE), rounds: str = "") -> str:
+def _scored_sql(where: str = "true", scale: str = str(SCALE), rounds: str = "") -> str:
     """CTEs: emb, prob (one row per vec_id, class), pred (one row per vec_id)."""
     extra = ", round" if rounds else ""
     return f"""emb AS (SELECT vec_id, label AS y_true, embedding, {split_case("vec_id")} AS split FROM embeddings),
   cells AS (SELECT vec_id, y_true, split, unnest(embedding)::DOUBLE AS x, unnest(range(1, len(embedding) + 1)) AS i FROM emb),
-  means AS (SELECT y_true AS class, i, round(avg(x), 6) AS m FROM cells WHERE split = 'train' AND i <= {dims} AND {where} GROUP BY ALL),
+  means AS (SELECT y_true AS class, i, round(avg(x), 6) AS m FROM cells WHERE split = 'train' AND {where} GROUP BY ALL),
   dist AS (SELECT vec_id, y_true, split, class, sum((x - m) * (x - m)) AS d FROM cells JOIN means USING (i) GROUP BY ALL),
   marg AS (SELECT vec_id, y_true, split, class, -d * {scale} AS margin{extra} FROM dist {rounds}),
   soft AS (SELECT *, exp(margin - max(margin) OVER (PARTITION BY vec_id{extra})) AS e FROM marg),
