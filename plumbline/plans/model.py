@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
@@ -11,22 +13,29 @@ from pyspark.ml.classification import (
     GBTClassifier,
     OneVsRest,
     OneVsRestModel,
+    RandomForestClassificationModel,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.lookup import bounded_rows
+from plumbline.session import written
 
 FEATURES = "_features"
+#: Bins of a feature: as many as Spark's tree learners make themselves (their ``maxBins``).
+BINS = 32
 
 
 class MissingFill:
-    """Fill NaN and NULL with the train mean and add a 0/1 flag per affected feature.
+    """Fill NaN and NULL with the train mean, add a 0/1 flag per affected feature, and cut all into bins.
 
-    Tree learners on Spark take no NaN, so "missing" becomes a value plus a flag.
+    Tree learners on Spark take no NaN, so "missing" becomes a value plus a flag. They see a feature only by its bin; the
+    cuts are found here, over all of train, so that rows of equal bins can be one weighted row of the fit (:meth:`cells`).
+    Up to 32 values of a feature have a bin each; more are cut at quantiles, a value that fills several by itself on
+    both of its sides.
     """
 
     def __init__(self, train: DataFrame, features: Sequence[str]) -> None:
@@ -35,25 +44,62 @@ class MissingFill:
         figures = train.agg(
             *[F.avg(seen(c)).alias(f"m{i}") for i, c in enumerate(self.features)],
             *[F.count_if(seen(c).isNull()).alias(f"n{i}") for i, c in enumerate(self.features)],
+            *[F.approx_count_distinct(seen(c)).alias(f"d{i}") for i, c in enumerate(self.features)],
         ).first()
         self.fill = {c: figures[f"m{i}"] or 0.0 for i, c in enumerate(self.features)}
         self.flagged = [c for i, c in enumerate(self.features) if figures[f"n{i}"]]
+        # The estimate only says whose values may be few; those are then listed.
+        few = [i for i in range(len(self.features)) if figures[f"d{i}"] <= 2 * BINS]
+        self.cuts = self._cuts(self._filled(train), [*few, *range(len(self.features), len(self.columns))])
 
     @property
     def columns(self) -> list[str]:
         return self.features + [f"{c}__missing" for c in self.flagged]
 
-    def apply(self, frame: DataFrame) -> DataFrame:
+    def _names(self, prefix: str) -> list[str]:
+        return [f"{prefix}{i}" for i in range(len(self.columns))]
+
+    def _filled(self, frame: DataFrame) -> DataFrame:
         value = lambda c: F.col(c).cast("double")
         absent = lambda c: value(c).isNull() | F.isnan(value(c))
-        replaced = {
-            c: F.when(absent(c), F.lit(float(self.fill[c]))).otherwise(value(c))
-            for c in self.features
-        }
-        flags = {f"{c}__missing": absent(c).cast("double") for c in self.flagged}
-        assembled = frame.select("*", *[col.alias(f"_x_{n}") for n, col in {**replaced, **flags}.items()])
-        names = [f"_x_{n}" for n in self.columns]
-        return VectorAssembler(inputCols=names, outputCol=FEATURES).transform(assembled).drop(*names)
+        replaced = [F.when(absent(c), F.lit(float(self.fill[c]))).otherwise(value(c)) for c in self.features]
+        flags = [absent(c).cast("double") for c in self.flagged]
+        return frame.select("*", *[c.alias(n) for n, c in zip(self._names("_x"), [*replaced, *flags], strict=True)])
+
+    def _cuts(self, filled: DataFrame, few: Sequence[int]) -> list[list[float]]:
+        """Per column the values up to which, themselves included, a bin goes."""
+        names = self._names("_x")
+        listed = filled.agg(*[F.collect_set(names[i]).alias(names[i]) for i in few]).first() if few else {}
+        values = {names[i]: sorted(listed[names[i]]) for i in few}
+        cuts = {n: found[:-1] or found for n, found in values.items() if len(found) <= BINS}
+        many = [n for n in names if n not in cuts]
+        shares = [i / BINS for i in range(1, BINS)]
+        for name, found in zip(many, filled.approxQuantile(many, shares, 0.1 / BINS) if many else [], strict=True):
+            heavy = {x for x, after in zip(found, found[1:], strict=False) if x == after}
+            cuts[name] = sorted({*found, *(math.nextafter(x, -math.inf) for x in heavy)})
+        return [cuts[n] for n in names]
+
+    def binned(self, frame: DataFrame) -> DataFrame:
+        """The columns of ``frame`` and a bin number per prepared column."""
+        above = [sorted({math.nextafter(x, math.inf) for x in cuts} - {math.inf, -math.inf}) for cuts in self.cuts]
+        edges = [[-math.inf, *(x or [0.0]), math.inf] for x in above]
+        names = self._names("_b")
+        cut = Bucketizer(splitsArray=edges, inputCols=self._names("_x"), outputCols=names, handleInvalid="keep")
+        return cut.transform(self._filled(frame)).select(*frame.columns, *names)
+
+    def assembled(self, binned: DataFrame) -> DataFrame:
+        names = self._names("_b")
+        return VectorAssembler(inputCols=names, outputCol=FEATURES).transform(binned).drop(*names)
+
+    def apply(self, frame: DataFrame) -> DataFrame:
+        return self.assembled(self.binned(frame))
+
+    def cells(self, train: DataFrame, label: str) -> DataFrame:
+        """(bins, label, weight): the rows of each label that no tree can tell apart, as one with their number as weight."""
+        names = self._names("_b")
+        rows = self.binned(train.select(*self.features, F.col(label).cast("double").alias("label")))
+        folded = rows.groupBy(*[F.col(n).cast("byte").alias(n) for n in names], "label").agg(F.count("*").alias("weight"))
+        return folded.withColumns({n: F.col(n).cast("double") for n in names})
 
 
 class FittedModel:
@@ -87,10 +133,13 @@ class FittedModel:
         )
         names = F.array(*[F.lit(c) for c in self.prepare.columns])
         nodes = spark.read.parquet(*forests)
+        # Weighted figures of a node: rows, sum and squares of a boosted tree, rows by class of a forest's.
+        stats = F.col("nodeData.impurityStats")
+        rows = stats[0] if isinstance(self.model, OneVsRestModel) else F.aggregate(stats, F.lit(0.0), lambda t, x: t + x)
         return nodes.where(F.col("nodeData.leftChild") >= 0).select(
             F.element_at(names, F.col("nodeData.split.featureIndex") + 1).alias("feature"),
             F.col("nodeData.gain").alias("gain"),
-            F.col("nodeData.rawCount").alias("rows"),
+            rows.cast("long").alias("rows"),
         )
 
     def importance(self, spark: SparkSession, path: str) -> DataFrame:
@@ -110,6 +159,65 @@ def class_count(train: DataFrame, label: str = "_label") -> int:
     return len(codes)
 
 
+def _bags(cells: DataFrame, trees: int, seed: int) -> DataFrame:
+    """``cells`` and t0.., how often each tree's bag holds rows of the cell.
+
+    A row is in a bag Poisson(1) times, so the rows of a cell are Poisson(their number) times. The draws depend on the
+    cell and the seed alone.
+    """
+    columns, names = cells.columns, [f"t{i}" for i in range(trees)]
+    keyed = cells.withColumn("_key", F.xxhash64(*[c for c in columns if c != "weight"]))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column("_key").to_numpy().view(np.uint64)
+            rows = batch.column("weight").to_numpy()
+            out = np.empty((trees, len(keys)), dtype=np.int64)
+            for i, (k, n) in enumerate(zip(keys, rows, strict=True)):
+                out[:, i] = np.random.Generator(np.random.Philox(key=[k, seed])).poisson(n, trees)
+            yield pa.record_batch([*batch.columns[:-1], *map(pa.array, out)], names=[*columns, *names])
+
+    fields = [f"`{n}` {kind}" for n, kind in cells.dtypes] + [f"{n} long" for n in names]
+    return keyed.mapInArrow(draw, ", ".join(fields))
+
+
+def _fit_forest(
+    prepare: MissingFill, cells: DataFrame, trees: int, depth: int, seed: int, parallelism: int
+) -> RandomForestClassificationModel:
+    """A random forest over weighted cells: every tree is fitted on its own bag of the rows, then they are put together.
+
+    Spark's own bags would take or leave a whole cell at once.
+    """
+    ready = prepare.assembled(written(_bags(cells, trees, seed), "bags"))
+
+    def one(tree: int) -> RandomForestClassificationModel:
+        bag = ready.select(FEATURES, "label", F.col(f"t{tree}").cast("double").alias("weight")).where("weight > 0")
+        learner = RandomForestClassifier(
+            featuresCol=FEATURES,
+            weightCol="weight",
+            numTrees=1,
+            bootstrap=False,
+            featureSubsetStrategy="sqrt" if trees > 1 else "all",
+            maxDepth=depth,
+            maxBins=BINS + 1,
+            seed=seed + tree,
+        )
+        return learner.fit(bag)
+
+    with ThreadPool(parallelism) as pool:
+        fitted = pool.map(one, range(trees))
+    java = [f._java_obj for f in fitted]
+    gateway = cells.sparkSession.sparkContext._gateway
+    spark_ml = gateway.jvm.org.apache.spark.ml.classification
+    together = gateway.new_array(spark_ml.DecisionTreeClassificationModel, trees)
+    for i, single in enumerate(java):
+        together[i] = single.trees()[0]
+    classes = max(f.numClasses for f in fitted)
+    forest = spark_ml.RandomForestClassificationModel("forest", together, java[0].numFeatures(), classes)
+    forest.set(forest.getParam("numTrees"), trees)
+    return RandomForestClassificationModel(forest).setFeaturesCol(FEATURES)
+
+
 def fit_multiclass(
     train: DataFrame,
     features: Sequence[str],
@@ -124,23 +232,23 @@ def fit_multiclass(
     """Multiclass trees on the train split: fixed rounds, no early stopping, no row weights.
 
     ``boosted`` fits one boosted ensemble per class against the rest; ``forest`` fits one
-    random forest over all classes.
+    random forest over all classes. Rows of equal bins and label are one weighted row of the fit, which
+    leaves sums, and so the trees, as they are; the bags of a forest are drawn for the rows themselves.
     """
+    if learner not in ("boosted", "forest"):
+        raise ValueError(f"Unknown learner {learner!r}")
     n = class_count(train, label)
     prepare = MissingFill(train, features)
-    ready = prepare.apply(train.select(*features, label)).select(
-        FEATURES, F.col(label).cast("double").alias("label")
-    )
+    cells = written(prepare.cells(train, label), "cells")
     if learner == "boosted":
         one = GBTClassifier(
-            featuresCol=FEATURES, maxIter=rounds, maxDepth=depth, stepSize=learning_rate, seed=seed
+            featuresCol=FEATURES, maxIter=rounds, maxDepth=depth, stepSize=learning_rate, seed=seed, maxBins=BINS + 1
         )
-        fit = OneVsRest(classifier=one, featuresCol=FEATURES, parallelism=parallelism)
-    elif learner == "forest":
-        fit = RandomForestClassifier(featuresCol=FEATURES, numTrees=rounds, maxDepth=depth, seed=seed)
+        fit = OneVsRest(classifier=one, featuresCol=FEATURES, weightCol="weight", parallelism=parallelism)
+        model = fit.fit(prepare.assembled(cells))
     else:
-        raise ValueError(f"Unknown learner {learner!r}")
-    return FittedModel(fit.fit(ready), prepare, n)
+        model = _fit_forest(prepare, cells, rounds, depth, seed, parallelism)
+    return FittedModel(model, prepare, n)
 
 
 # ---- nearest centroid: a model a plain expression can score ------------------------------------------

@@ -5,12 +5,13 @@ import os
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.classification import OneVsRest, RandomForestClassifier
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.operators import accounting, decisions, history, importance, metrics, ordered
 from plumbline.operators.labels import LabelPolicy
-from plumbline.plans.model import CentroidModel, fit_multiclass
+from plumbline.plans.model import CentroidModel, MissingFill, fit_multiclass
 from plumbline.streaming.incremental import IncrementalPreparation, check_resume
 
 # ---- ordered scans ---------------------------------------------------------------------------------------
@@ -367,6 +368,55 @@ def test_label_codes_are_checked(spark):
         fit_multiclass(blobs(spark), ["a"], learner="linear")
 
 
+def test_boosting_sees_equal_bins_once(spark, monkeypatch):
+    """Ten times the rows make the same weighted rows, and the same scores."""
+    train = blobs(spark).where("split = 'train'").withColumns({c: F.round(c) for c in "ab"})
+    more = train.crossJoin(spark.range(10).select(F.col("id").alias("copy")))
+    sizes, fit = [], OneVsRest.fit
+
+    def counted(self, rows):
+        sizes.append((rows.count(), rows.agg(F.sum("weight")).first()[0]))
+        return fit(self, rows)
+
+    monkeypatch.setattr(OneVsRest, "fit", counted)
+    models = [fit_multiclass(t, ["a", "b"], rounds=2, depth=2, learning_rate=0.3) for t in (train, more)]
+    n = train.count()
+    assert sizes[0][0] == sizes[1][0] and [w for _, w in sizes] == [n, 10 * n]
+    first, second = (sorted(map(str, m.score(train).select("row_id", "y_prob").collect())) for m in models)
+    assert first == second
+
+
+def test_few_values_and_heavy_ones_keep_their_bins(spark):
+    rows = spark.range(4000).select(
+        F.lit(0).alias("_label"),
+        F.when(F.col("id") == 7, 5.0).otherwise(F.lit(9.0)).alias("rare"),
+        F.when(F.col("id") < 100, F.col("id").cast("double")).otherwise(F.lit(1e6)).alias("heavy"),
+        F.lit(None).cast("double").alias("none"),
+    )
+    prepare = MissingFill(rows, ["rare", "heavy", "none"])
+    seen = prepare.binned(rows).groupBy("_b0").count().orderBy("_b0").collect()
+    assert [r["count"] for r in seen] == [1, 3999]
+    assert prepare.binned(rows).where("heavy < 1e6").agg(F.max("_b1")).first()[0] < prepare.binned(rows).agg(F.max("_b1")).first()[0]
+    assert prepare.cells(rows, "_label").agg(F.sum("weight")).first()[0] == 4000
+
+
+def test_bags_are_drawn_for_rows_not_for_cells(spark, monkeypatch):
+    """A tree's bag of 10,000 rows in one cell is Poisson(10,000) large: close to 10,000, and never left out."""
+    rows = spark.range(20_000).select((F.col("id") % 2).cast("int").alias("_label"), (F.col("id") % 2).cast("double").alias("x"))
+    bags, fit = [], RandomForestClassifier.fit
+
+    def drawn(self, bag):
+        bags.append([r["weight"] for r in bag.collect()])
+        return fit(self, bag)
+
+    monkeypatch.setattr(RandomForestClassifier, "fit", drawn)
+    fitted = fit_multiclass(rows, ["x"], learner="forest", rounds=8, depth=2)
+    assert fitted.model.getNumTrees == 8 and len(bags) == 8 and all(len(b) == 2 for b in bags)
+    weights = [w for b in bags for w in b]
+    assert all(9_500 < w < 10_500 for w in weights) and len(set(weights)) > 1
+    assert {tuple(r["y_prob"]) for r in fitted.score(rows).where("y_true = 1").collect()} == {(0.0, 1.0)}
+
+
 # ---- streams -----------------------------------------------------------------------------------------------------
 
 
