@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from plumbline.operators.importance import RANKING_SPLIT, Ranking, ranked_features
 from plumbline.operators.metrics import mixed_open_set, per_class_metrics
+from plumbline.session import written
 
 
 def sweep_table(
@@ -92,7 +93,8 @@ def sweep_ranked(
         raise ValueError(f"k={counts[0]} is outside 1..{len(order)}")
     held = rows.where(F.col("split") == RANKING_SPLIT)
     mixed_open_set(held, fail=True)
-    classes = per_class_metrics(score(held, order, counts), n_classes, ["k"])
+    # A row per k and class, read three times below; the rows are scored once.
+    classes = written(per_class_metrics(score(held, order, counts), n_classes, ["k"]), "sweep-classes")
     scores = classes.groupBy("k").agg(F.avg("f1").alias("macro_f1"), F.avg("recall").alias("balanced_accuracy"))
     recall = classes.select("k", "class", "recall")
     return sweep_table(scores, recall, len(order), tolerance_macro_f1, tolerance_class_recall)

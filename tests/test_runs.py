@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from plumbline.operators import accounting, decisions, history, importance, metrics, ordered
 from plumbline.operators.labels import LabelPolicy
-from plumbline.plans.model import CentroidModel, MissingFill, fit_multiclass
+from plumbline.plans.model import CentroidModel, MissingFill, _half_up, fit_multiclass
 from plumbline.streaming.incremental import IncrementalPreparation, check_resume
 
 # ---- ordered scans ---------------------------------------------------------------------------------------
@@ -184,6 +184,25 @@ def test_ranking_of_a_sample_is_written_and_read(spark, folder):
         importance.load_ranking(spark, folder)
 
 
+def test_permuted_values_meet_without_lists(spark):
+    rows = spark.range(500).select("id", (F.col("id") % 7).cast("double").alias("a"), F.col("id").cast("double").alias("b"))
+    rows = rows.withColumn("b", F.when(F.col("id") % 5 > 0, F.col("b")))
+    copies = importance.permuted_copies(rows, "id", ["a", "b"], 2, 1)
+    assert "collect_list" not in copies._jdf.queryExecution().optimizedPlan().toString()
+    for feature in "ab":
+        want = sorted(str(r[feature]) for r in rows.collect())
+        for repeat in (1, 2):
+            copy = copies.where((F.col("feature") == feature) & (F.col("repeat") == repeat)).collect()
+            assert sorted(str(r[feature]) for r in copy) == want and len({r["id"] for r in copy}) == 500
+
+
+def test_shares_round_like_round(spark):
+    shares = spark.range(5000).select((F.col("id") / 4096).alias("x")).union(spark.range(5000).select(F.rand(3)))
+    off = shares.where(_half_up(F.col("x") * 1e4) / 1e4 != F.round("x", 4))
+    assert off.isEmpty()
+    assert spark.range(1).select(_half_up(F.lit(312.5)).alias("x"), F.isnan(_half_up(F.lit(float("nan")))).alias("y")).first() == (313.0, True)
+
+
 def test_ranked_sweep_scores_every_k_like_a_model_of_its_own(spark):
     rows, names, model, found = ranked_blobs(spark, repeats=2)
     order = importance.ranked_features(names, found)
@@ -208,6 +227,8 @@ def test_ranked_sweep_scores_every_k_like_a_model_of_its_own(spark):
         assert got[k]["macro_f1"] == pytest.approx(mine["macro_f1"])
         assert got[k]["accepted"] == (got[k]["delta_macro_f1"] <= 0.02 and got[k]["worst_class_recall_drop"] <= 0.05)
     passing = [k for k in (1, 2) if got[k]["accepted"]]
+    # The rows were scored once; what is left reads a row per k and class.
+    assert "nested" not in table._jdf.queryExecution().optimizedPlan().toString()
     assert passing and decisions.choose_k(table).first()["chosen_k"] == min(passing)
     opened = given.withColumn("y_true", F.when(F.col("row_id") < 40, -1).otherwise(F.col("y_true")))
     with pytest.raises(ValueError):
