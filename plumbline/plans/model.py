@@ -254,6 +254,12 @@ def fit_multiclass(
 # ---- nearest centroid: a model a plain expression can score ------------------------------------------
 
 
+def _half_up(share: Column) -> Column:
+    """The nearest whole number of one that is not negative, halves up, in doubles: ``round`` makes a decimal of every value."""
+    nearest = F.rint(share)
+    return F.when(share - nearest == 0.5, nearest + 1).otherwise(nearest)
+
+
 class CentroidModel:
     """Softmax over similarity to the class means. The model is classes x dimensions numbers."""
 
@@ -307,14 +313,16 @@ class CentroidModel:
         top = F.greatest(*names) if len(names) > 1 else F.col(names[0])
         powers = {f"_e{c}": F.exp(F.col(f"_m{c}") - F.col("_top")) for c in classes}
         total = sum((F.col(e) for e in list(powers)[1:]), F.col(next(iter(powers))))
-        shares = [F.round(F.col(e) / F.col("_total"), digits).cast("float") for e in powers]
+        scaled = {f"_q{c}": F.col(e) / F.col("_total") * F.lit(10.0**digits) for c, e in zip(classes, powers, strict=True)}
+        shares = [(_half_up(F.col(q)) / F.lit(10.0**digits)).cast("float") for q in scaled]
         return (
             frame.withColumns(margins)
             .withColumn("_top", top)
             .withColumns(powers)
             .withColumn("_total", total)
+            .withColumns(scaled)
             .withColumn("y_prob", F.array(*shares))
-            .drop(*names, "_top", *powers, "_total")
+            .drop(*names, "_top", *powers, "_total", *scaled)
         )
 
     def score_vectors(
