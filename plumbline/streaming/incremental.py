@@ -126,13 +126,11 @@ class IncrementalPreparation:
             *self.columns, RELATIVE_PATH, FILE_ID, ROW_ID,
             "label", "keep", "open_set", "split", "in_scope", "_identity",
         ]
-        assigned = self.assign(self._sampled(batch)).select(*dict.fromkeys(needed)).persist()
-        try:
-            if self.encode:
-                self._grow(assigned, batch_id)
-            self._write(assigned, f"batch={batch_id}", batch_id)
-        finally:
-            assigned.unpersist()
+        # A written table and not a cache: memory stays flat however large a file is, and each output reads its own columns.
+        assigned = written(self.assign(self._sampled(batch)).select(*dict.fromkeys(needed)), "assigned")
+        if self.encode:
+            self._grow(assigned, batch_id)
+        self._write(assigned, f"batch={batch_id}", batch_id)
 
     def dictionary(self, before: int | None = None) -> DataFrame:
         """(label, code) of all batches, or of those before one."""
@@ -167,26 +165,29 @@ class IncrementalPreparation:
             .option("maxRecordsPerFile", self.rows_per_part)
             .parquet(f"{self.output}/splits/{folder}")
         )
-        accounting.counted(assigned).write.mode("overwrite").parquet(f"{self.output}/counts/{folder}")
+        counted = accounting.counted(assigned)
+        counted.write.mode("overwrite").parquet(f"{self.output}/counts/{folder}")
         group = "_identity" if self.group_aware else None
         ids = audit.identities(placed.withColumn("_row", row_identity()), "_row", group)
         ids = audit.audit_scope(ids, self.strategy)
         if self.identity_divisor > 1:
             ids = ids.where(divisible(seeded_hash(audit.AUDIT_SALT, F.col("id")), self.identity_divisor))
-        # One row per identity and split of a batch is all a later audit needs.
-        (
-            ids.groupBy("kind", "id", "split")
-            .agg(F.count("*").alias("rows"))
-            .write.mode("overwrite")
-            .parquet(f"{self.output}/identities/{folder}")
-        )
+        # One row per identity and split of a batch is all a later audit needs. Row identities hardly ever repeat, so they
+        # are written as they come and meet only in the audit; groups fold.
+        is_row = F.col("kind") == "sample"
+        folded = ids.where(~is_row).groupBy("kind", "id", "split").agg(F.count("*").alias("rows"))
+        singles = ids.where(is_row).withColumn("rows", F.lit(1).cast("long"))
+        singles.unionByName(folded).write.mode("overwrite").parquet(f"{self.output}/identities/{folder}")
+        # The counts of this batch hold every row, so the files' figures are sums of them.
+        counts = self.spark.read.schema(counted.schema).parquet(f"{self.output}/counts/{folder}")
+        rows_of = lambda which: F.coalesce(F.sum(F.when(which, F.col("rows"))), F.lit(0)).cast("long")
         (
-            assigned.groupBy(RELATIVE_PATH)
+            counts.groupBy(RELATIVE_PATH)
             .agg(
-                F.count("*").alias("rows_read"),
-                F.count_if(~F.col("keep")).alias("excluded_by_label"),
-                F.count_if(F.col("keep") & F.col("split").isNull()).alias("excluded_by_split"),
-                F.count_if(F.col("split").isNotNull()).alias("rows_written"),
+                rows_of(F.lit(True)).alias("rows_read"),
+                rows_of(~F.col("keep")).alias("excluded_by_label"),
+                rows_of(F.col("keep") & F.col("split").isNull()).alias("excluded_by_split"),
+                rows_of(F.col("split").isNotNull()).alias("rows_written"),
             )
             .withColumn("finished_at", F.current_timestamp())
             .write.mode("overwrite")

@@ -479,6 +479,25 @@ def test_files_are_taken_in_once(spark, folder):
     assert audit["group"]["identities"] == 200 and audit["group"]["passed"] and audit["sample"]["passed"]
 
 
+def test_a_batch_is_written_once_and_not_cached(spark, folder, monkeypatch):
+    source, out = f"{folder}/in", f"{folder}/out"
+    write_flows(source, ["f1"])
+
+    def refused(self, *args):
+        raise AssertionError("A batch is as large as its files")
+
+    monkeypatch.setattr(type(spark.range(1)), "persist", refused)
+    prepared = stream(spark, source, out).run()
+    figures = prepared.progress().drop("finished_at").first()
+    assert figures["rows_read"] == figures["rows_written"] == 200
+    assert figures["excluded_by_label"] == figures["excluded_by_split"] == 0
+    stored = {r["kind"]: r for r in spark.read.parquet(f"{out}/identities").groupBy("kind").agg(F.count("*").alias("n"), F.sum("rows").alias("rows")).collect()}
+    assert (stored["sample"]["n"], stored["sample"]["rows"]) == (200, 200)
+    assert (stored["group"]["n"], stored["group"]["rows"]) == (50, 200)
+    audit = {r["kind"]: r for r in prepared.audit().collect()}
+    assert audit["sample"]["identities"] == 200 and audit["group"]["identities"] == 50
+
+
 def test_overlap_across_sessions_is_found(spark, folder):
     """The second session splits by row: groups of the first one now cross splits."""
     source, out = f"{folder}/in", f"{folder}/out"
