@@ -237,6 +237,8 @@ def fit_multiclass(
     """
     if learner not in ("boosted", "forest"):
         raise ValueError(f"Unknown learner {learner!r}")
+    # Classes, means, values, quantiles and cells are a pass each: over these columns alone, split and filtered once.
+    train = written(train.select(*features, label), "train")
     n = class_count(train, label)
     prepare = MissingFill(train, features)
     cells = written(prepare.cells(train, label), "cells")
