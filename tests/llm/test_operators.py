@@ -1,5 +1,6 @@
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -380,6 +381,17 @@ def test_bands_find_similar_pairs_of_any_length(spark):
     assert len(shares) == 6 and min(shares.values()) >= 0.965, shares
 
 
+def test_shingles_of_a_long_line_do_not_copy_it_each(spark):
+    text = prose(77, 60_000)
+    wide = frame(spark, [(1, text), (2, "short"), (3, "")]).select("doc_id", F.encode("text", "UTF-16BE").alias("wide"))
+    start = time.perf_counter()
+    found = dict(wide.select("doc_id", F.size(lines._set(F.col("wide"), lines.SIZE))).collect())
+    took = time.perf_counter() - start
+    assert found == {1: len({text[i : i + lines.SIZE] for i in range(len(text) - lines.SIZE + 1)}), 2: 1, 3: 1}
+    # Some 320,000 code units: copies of the whole line, one for each shingle, are some 200 GB.
+    assert took < 10
+
+
 def test_lines_go_and_columns_stay(spark):
     rows = [(1, "Keep this line.\nother words here"), (2, "keep this line. \n\nsecond"), (3, None), (4, ""), (5, "second")]
     docs = frame(spark, rows).coalesce(1)
