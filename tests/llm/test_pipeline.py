@@ -1,11 +1,13 @@
 """The queries against their SQL, and the stages against what they promise."""
 
 import duckdb
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from plumbline.llm import queries
-from plumbline.llm.frames import stored
+from plumbline.llm.frames import map_batches, stored
 from tests.llm.fixtures import WORD, frame, odd_rows, prose
 from tests.oracle import compare, connect
 
@@ -47,3 +49,16 @@ def test_stages_take_odd_rows_and_extra_columns(spark, folder):
             if name != "packing":
                 assert out.columns == docs.columns
                 docs = out
+
+
+def test_stages_hand_texts_to_python_in_batches_of_bounded_bytes(spark):
+    wide = spark.range(400, numPartitions=1).select(F.repeat(F.lit("words "), 16_000).alias("text"))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        corpus_pipeline.STAGES[-1][1](spark, frame(spark, odd_rows()), SF)
+        sizes = map_batches(wide, lambda b: pa.record_batch([pa.array([b.nbytes])], names=["n"]), "n long").collect()
+    finally:
+        spark.conf.set(key, before)
+    assert sum(r["n"] for r in sizes) >= 400 * 96_000
+    assert max(r["n"] for r in sizes) <= 4 << 20
