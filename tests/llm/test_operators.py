@@ -392,6 +392,62 @@ def test_shingles_of_a_long_line_do_not_copy_it_each(spark):
     assert took < 10
 
 
+def _generated(spark, df) -> int:
+    """Rows that the generators of a frame make when it runs."""
+    key = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        done = df.select("*")
+        done.collect()
+    finally:
+        spark.conf.set(key, before)
+    nodes, total = [done._jdf.queryExecution().executedPlan()], 0
+    while nodes:
+        node = nodes.pop()
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "Generate":
+            total += node.metrics().apply("numOutputRows").value()
+    return total
+
+
+def test_shingles_meet_in_a_row_before_they_meet_in_a_line(spark):
+    """Signatures and bitmaps, of lines that are short, long and not a multiple of a row, and how many rows they take."""
+    rng = random.Random(12)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n)) for n in (1, 5, 6, 7, 13, 99, 255, 256, 400, 401, 1700, 2100)]
+    texts += ["é" * 3000, "ab" * 150, "\U0001f600x" * 30]
+    units = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "node long, norm string").coalesce(1)
+    wide = units.select("node", F.encode("norm", "UTF-16BE").alias("wide"))
+    grams = [[c[i : i + 12] for i in range(0, max(1, len(c) - 10), 2)] for c in (t.encode("utf-16-be") for t in texts)]
+    hashed = spark.createDataFrame([(i, bytearray(g)) for i, gs in enumerate(grams) for g in gs], "node long, g binary")
+    hashes = [[] for _ in texts]
+    for r in hashed.select("node", F.xxhash64("g").alias("h")).collect():
+        hashes[r["node"]].append(r["h"])
+    levels = [(i, share) for i, t in enumerate(texts) for a, b, share in lines.LEVELS if a <= len(t.encode("utf-16-be")) // 2 <= b]
+    minima = []
+    for i, share in levels:
+        sample = [(h % 2**64) >> 33 for h in hashes[i] if h % 2**share == 0]
+        if sample:
+            least = [min(((h ^ a) * f) % 2**31 for h in sample) for a, f in lines._ORDERS]
+            minima.append((i, share, least))
+    bands = [
+        F.xxhash64(F.lit(b), "share", *[F.col("least")[b * lines.ROWS + r] for r in range(lines.ROWS)]) for b in range(lines.BANDS)
+    ]
+    expected = spark.createDataFrame(minima, "node long, share int, least array<int>").select("node", F.array(*bands).alias("bands"))
+    signed = lines.signatures(units.withColumn("at", F.col("node")))
+    assert Counter((r["node"], *r["bands"]) for r in signed.collect()) == Counter((r["node"], *r["bands"]) for r in expected.collect())
+    maps = lines._bitmaps(wide, lines.SIZE)
+    for r in maps.collect():
+        held, words = {h % 2**64 for h in hashes[r["node"]]}, [0] * lines.WORDS
+        for h in held:
+            words[(h >> 6) % lines.WORDS] ^= 1 << (h & 63)
+        assert r["n"] == len(held) and [r[f"b{i}"] % 2**64 for i in range(lines.WORDS)] == words
+    n = sum(len(hashes[i]) for i, _ in levels)
+    assert _generated(spark, signed) < 0.3 * n + len(lines.LEVELS) * len(texts) + len(levels)
+    assert _generated(spark, maps) < 0.2 * sum(len(set(h)) for h in hashes) + len(texts)
+    assert spark.conf.get("spark.sql.ansi.enabled") == "true"
+
+
 def test_lines_go_and_columns_stay(spark):
     rows = [(1, "Keep this line.\nother words here"), (2, "keep this line. \n\nsecond"), (3, None), (4, ""), (5, "second")]
     docs = frame(spark, rows).coalesce(1)
